@@ -20,3 +20,4 @@ def query(name: str, oracle: str | None = None):
 
 
 from colloquy.queries import fixtures_q  # noqa: E402,F401
+from colloquy.queries import cleaning_q, layout_q  # noqa: E402,F401

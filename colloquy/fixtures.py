@@ -6,11 +6,27 @@ words, turns, notes and library entries. Operators never see them: they are inpu
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.lexicons import ACCENTED, PLAIN
 from colloquy.plans.ordered import in_order
+from colloquy.plans.store import materialise
+
+
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def written(view):
+    """Derive a view once per session and folder, as the table a user would already have."""
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, view.__name__, sf)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = materialise(view(spark, sf))
+        return _WRITTEN[key]
+    return functools.wraps(view)(read)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +38,7 @@ def _pieces(text):
     return F.split(F.regexp_replace(flat, "([.!?…]) ", "$1\x1f"), "\x1f")
 
 
+@written
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """V1: one segment per sentence of each conversation turn."""
     pieces = (table(spark, sf, "conversations")
@@ -38,6 +55,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
                         "end_ms")
 
 
+@written
 def invented(spark: SparkSession, sf: str) -> DataFrame:
     """V1a: segments with invented phrases in front, behind, inside and alone."""
     s = in_order(segments(spark, sf), ["recording_id"], ["seg_no"],
@@ -60,6 +78,7 @@ def invented(spark: SparkSession, sf: str) -> DataFrame:
         F.when(extra, F.col("end_ms") + 1500).otherwise(F.col("end_ms")).alias("end_ms"))
 
 
+@written
 def doubled(spark: SparkSession, sf: str) -> DataFrame:
     """V1b: segments whose head repeats the one before, and segments heard twice."""
     s = in_order(segments(spark, sf), ["recording_id"], ["seg_no"], lag={"prev": F.col("text")})
@@ -74,6 +93,7 @@ def doubled(spark: SparkSession, sf: str) -> DataFrame:
                     "start_ms", "end_ms")
 
 
+@written
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """V2: the words of V1, each with its share of the segment's time."""
     s = segments(spark, sf).withColumn("w", F.split("text", " "))
@@ -137,6 +157,7 @@ def voices(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("SPEAKER_"), F.lpad(F.col("label").cast("string"), 2, "0")).alias("speaker"))
 
 
+@written
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """V9: one written answer per assistant turn: a heading and a bullet per segment."""
     sec = F.floor(F.col("start_ms") / 1000)
@@ -157,6 +178,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 HEADINGS = ["Decisions", "Azioni", "Open questions", "Problem", "Weather"]
 
 
+@written
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """V10: one sample per event, numbered in time order within its user."""
     e = table(spark, sf, "events").select(
