@@ -176,7 +176,9 @@ PAGE_WORDS = {
            "made_by": "{engine}, {when} — from a {minutes}-minute recording",
            "made_by_untimed": "{engine}, {when}"},
     "it": {"title": "Riassunto", "abstract": "In breve", "points": "Punti chiave",
-           "decisions": "Decisioni", "actions": "Azioni", "keywords": "Termini ricorrenti"},
+           "decisions": "Decisioni", "actions": "Azioni", "keywords": "Termini ricorrenti",
+           "made_by": "{engine}, {when} — da una registrazione di {minutes} minuti",
+           "made_by_untimed": "{engine}, {when}"},
 }
 
 

@@ -19,6 +19,11 @@ SPELLED = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 _EDGE = "\"'“”«».(),;:!?…"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
 
@@ -73,20 +78,26 @@ def terms(c: Column) -> Column:
     elided = literal_array(ELIDED)
 
     def whole(w):
-        head, tail = F.split_part(w, F.lit("'"), F.lit(1)), F.split_part(w, F.lit("'"), F.lit(2))
-        return F.when((tail != "") & F.array_contains(elided, fold(head)), tail).otherwise(w)
+        head = F.split_part(w, F.lit("'"), F.lit(1))
+        cut = F.contains(w, F.lit("'")) & F.array_contains(elided, fold(head))
+        return F.when(cut, F.split_part(w, F.lit("'"), F.lit(2))).otherwise(w)
 
     return F.filter(F.transform(found, whole), lambda w: F.length(w) >= 3)
 
 
-def language_of(code: Column) -> Column:
-    """The language whose lists apply: Italian when asked for, English otherwise."""
+def language_of(code: Column | str) -> Column:
+    """The language whose lists apply: Italian when asked for, English otherwise.
+
+    ``code`` is a column or the name of one.
+    """
+    code = F.col(code) if isinstance(code, str) else code
     short = F.regexp_extract(F.lower(F.trim(F.coalesce(code, F.lit("")))), r"^([^_-]*)", 1)
     return F.when(short == "it", F.lit("it")).otherwise(F.lit("en"))
 
 
-def estimate_tokens(c: Column, language: Column | None = None) -> Column:
+def estimate_tokens(c: Column, language: Column | str | None = None) -> Column:
     """Model tokens a text is worth, from its length."""
+    language = F.col(language) if isinstance(language, str) else language
     n = F.length(F.coalesce(c, F.lit("")))
     if language is None:
         return F.floor(n / F.lit(CHARS_PER_TOKEN_UNKNOWN)).cast("long")

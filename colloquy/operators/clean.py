@@ -121,6 +121,11 @@ def aligned_runs_each(tails: pd.Series, heads: pd.Series) -> pd.Series:
                       for a, b in zip(tails, heads, strict=True)])
 
 
+# Kept where they stand in the plan: a filter on what they cut must not run them again.
+aligned_runs = aligned_runs.asNondeterministic()
+aligned_runs_each = aligned_runs_each.asNondeterministic()
+
+
 def _pairs(keys: Column) -> Column:
     return F.zip_with(F.slice(keys, 1, F.greatest(F.size(keys) - 1, F.lit(0))), F.slice(keys, 2, F.size(keys)),
                       lambda a, b: F.concat(a, F.lit(" "), b))
@@ -131,11 +136,13 @@ def doubled_words(tail: Column, head: Column) -> tuple[Column, Column]:
 
     Only such rows ever reach Python, and never with more than eighty words a side.
     """
-    t = F.slice(tail, F.greatest(F.size(tail) - OVERLAP_MAX_WORDS, F.lit(0)) + 1, OVERLAP_MAX_WORDS)
-    h = F.slice(head, 1, OVERLAP_MAX_WORDS)
-    worth = ((F.size(t) >= OVERLAP_MIN_WORDS) & (F.size(h) >= OVERLAP_MIN_WORDS)
-             & F.arrays_overlap(_pairs(t), _pairs(h)))
-    return F.when(worth, t), F.when(worth, h)
+    def side(which):
+        def pick(t):
+            return tx.let(F.slice(head, 1, OVERLAP_MAX_WORDS), lambda h: F.when(
+                (F.size(t) >= OVERLAP_MIN_WORDS) & (F.size(h) >= OVERLAP_MIN_WORDS)
+                & F.arrays_overlap(_pairs(t), _pairs(h)), t if which == "tail" else h))
+        return tx.let(F.slice(tail, F.greatest(F.size(tail) - OVERLAP_MAX_WORDS, F.lit(0)) + 1, OVERLAP_MAX_WORDS), pick)
+    return side("tail"), side("head")
 
 
 def cut_from_runs(runs: Column) -> Column:
@@ -194,14 +201,16 @@ def cut_credits(segments: DataFrame) -> DataFrame:
         "_gaps": F.when(hit, F.transform(F.regexp_extract_all("_line", F.lit(f"({_CREDIT})"), F.lit(1)), word_count))})
     s = s.withColumn("_bits", F.transform("_sizes", lambda n, i: F.slice(
         "ws", before(F.col("_sizes"), i) + before(F.col("_gaps"), i) + 1, n)))
-    tails = F.transform("_bits", lambda _, i: F.when(i > 0, doubled_words(
-        F.concat("recent", _keys(F.flatten(F.slice("_bits", F.lit(1), i)))), _keys(F.get("_bits", i)))[0]))
-    heads = F.transform("_bits", lambda _, i: F.when(i > 0, doubled_words(
-        F.concat("recent", _keys(F.flatten(F.slice("_bits", F.lit(1), i)))), _keys(F.get("_bits", i)))[1]))
-    s = s.withColumns({"_t": tails, "_h": heads}).withColumn("_runs", aligned_runs_each("_t", "_h"))
+    # What was said before each part, and the part itself, as the alignment wants them.
+    sides = F.transform("_bits", lambda b, i: tx.let(
+        F.concat("recent", _keys(F.flatten(F.slice("_bits", F.lit(1), i)))),
+        lambda said: tx.let(_keys(b), lambda own: F.struct(*[
+            F.when(i > 0, side).alias(n) for n, side in zip("th", doubled_words(said, own), strict=True)]))))
+    s = s.withColumn("_sides", sides)
+    s = s.withColumn("_runs", aligned_runs_each(F.transform("_sides", lambda x: x["t"]), F.transform("_sides", lambda x: x["h"])))
     left = F.flatten(F.zip_with("_bits", "_runs", lambda b, r: F.slice(b, cut_from_runs(r) + 1, F.size(b))))
     s = s.withColumn("_left", F.coalesce(left, F.col("ws"))).withColumn("credit_cut", F.size("ws") - F.size("_left"))
-    return s.withColumn("ws", F.col("_left")).drop("_sizes", "_gaps", "_bits", "_t", "_h", "_runs", "_left",
+    return s.withColumn("ws", F.col("_left")).drop("_sizes", "_gaps", "_bits", "_sides", "_runs", "_left",
                                                    "_line", "recent")
 
 
@@ -231,11 +240,14 @@ def unrepeated(keys: pd.Series) -> pd.Series:
     return pd.Series([None if k is None else _kept_positions(list(k)) for k in keys])
 
 
+unrepeated = unrepeated.asNondeterministic()
+
+
 def collapse_repeats(segments: DataFrame) -> DataFrame:
     """Drop a run of 6 to 80 words said again straight away; ``repeat_cut`` words went."""
-    keys = _keys(F.col("ws"))
-    worth = (F.size("ws") >= 2 * REPEAT_MIN_WORDS) & (F.size(F.array_distinct(keys)) <= F.size("ws") - REPEAT_MIN_WORDS)
-    s = segments.withColumn("_kept", F.when(worth, keys)).withColumn("_kept", unrepeated("_kept"))
+    worth = tx.let(_keys(F.col("ws")), lambda k: F.when(
+        (F.size(k) >= 2 * REPEAT_MIN_WORDS) & (F.size(F.array_distinct(k)) <= F.size(k) - REPEAT_MIN_WORDS), k))
+    s = segments.withColumn("_kept", worth).withColumn("_kept", unrepeated("_kept"))
     left = F.when(F.col("_kept").isNull(), F.col("ws")).otherwise(
         F.transform("_kept", lambda i: F.element_at("ws", i + 1)))
     return (s.withColumn("_ws", left).withColumn("repeat_cut", F.size("ws") - F.size("_ws"))

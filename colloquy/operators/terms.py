@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as lx
 from colloquy.functions import text as tx
 from colloquy.plans.ordered import dense
+from colloquy.plans.store import materialise
 
 KEYS = ["recording_id"]
 
@@ -40,10 +41,74 @@ def stop_words(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "_lang string, _folded string")
 
 
-def content_terms(sentences: DataFrame, language: Column | None = None, ids: tuple[str, ...] = ("sent_no",)) -> DataFrame:
+def content_terms(sentences: DataFrame, language: Column | str | None = None, ids: tuple[str, ...] = ("sent_no",)) -> DataFrame:
     """One row per content word: stop words gone, elided articles cut off."""
     lang = tx.language_of(language) if language is not None else F.lit("en")
     e = sentences.select("recording_id", *ids, lang.alias("_lang"), F.explode(tx.terms(F.col("text"))).alias("term"))
     stops = F.broadcast(stop_words(sentences.sparkSession))    # a fixed list of a few hundred words
     return (e.withColumn("_folded", tx.fold(F.col("term"))).join(stops, ["_lang", "_folded"], "left_anti")
             .select("recording_id", *ids, "term"))
+
+
+def term_counts(sentences: DataFrame, language: Column | str | None = None, ids: tuple[str, ...] = ("sent_no",)) -> DataFrame:
+    return content_terms(sentences, language, ids).groupBy("recording_id", *ids, "term").agg(F.count("*").alias("tf"))
+
+
+def weights(sentences: DataFrame, language: Column | str | None = None, ids: tuple[str, ...] = ("sent_no",)) -> DataFrame:
+    """Tf-idf of every content word, each sentence's vector of length one.
+
+    ``recording_id, *ids, term, tf, df, w``: sparse, one row per word of a sentence.
+    """
+    tf = materialise(term_counts(sentences, language, ids))
+    size = sentences.groupBy("recording_id").agg(F.count("*").alias("_n"))
+    # The recording's size meets its vocabulary, not its words.
+    df = (tf.groupBy("recording_id", "term").agg(F.count("*").alias("df")).join(size, "recording_id"))
+    raw = F.col("tf") * (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0)
+    w = tf.join(df, ["recording_id", "term"]).withColumn("_raw", raw)
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("recording_id", *ids)))
+    return w.withColumn("w", F.col("_raw") / norm).select("recording_id", *ids, "term", "tf", "df", "w")
+
+
+def keywords(weighted: DataFrame, count: int = 10) -> DataFrame:
+    """The terms a recording keeps coming back to: ``recording_id, rank, term, weight``."""
+    total = weighted.groupBy("recording_id", "term").agg(F.round(F.sum("w"), 6).alias("weight"))
+    nth = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("weight"), "term"))
+    return total.withColumn("rank", nth).where((F.col("rank") <= count) & (F.col("weight") > 0))
+
+
+def similar_pairs(weighted: DataFrame, threshold: float, ids: tuple[str, ...] = ("sent_no",)) -> DataFrame:
+    """Pairs within a recording at least ``threshold`` alike: ``recording_id, a, b, sim``, a before b.
+
+    Sentences with the same words count once: a copy is paired only with the first of its
+    kind. Of the rest, two can reach the threshold only if they share one of the few rarest
+    words that carry enough of each vector, so only those words are joined; the cosine is
+    then computed in full. ``a`` and ``b`` are structs of ``ids``.
+    """
+    me = F.struct(*ids)
+    entry = F.struct(F.col("df").alias("df"), F.col("term").alias("term"), F.col("w").alias("w"), F.col("tf").alias("tf"))
+    vec = (weighted.groupBy("recording_id", *ids).agg(F.array_sort(F.collect_list(entry)).alias("_v"))
+           .withColumn("_same", F.sha2(F.to_json(F.transform("_v", lambda v: F.struct(v["term"], v["tf"]))), 256)))
+    vec = materialise(vec.withColumn("_id", me))
+    first = vec.groupBy("recording_id", "_same").agg(F.min("_id").alias("_first"))
+    tied = vec.select("recording_id", "_id", "_same").join(first, ["recording_id", "_same"])
+    copies = tied.where("_id <> _first").select(
+        "recording_id", F.col("_first").alias("a"), F.col("_id").alias("b"), F.lit(1.0).alias("sim"))
+    heads = vec.join(first.select("recording_id", F.col("_first").alias("_id")), ["recording_id", "_id"], "left_semi")
+    # How much of the vector lies from word i on; the words before it falls short are the prefix.
+    rest = F.transform("_v", lambda _, i: F.aggregate(
+        F.slice("_v", i + 1, F.size("_v")), F.lit(0.0), lambda a, v: a + v["w"] * v["w"]))
+    heads = heads.withColumn("_rest", rest)
+    prefix = F.transform(F.filter(F.arrays_zip("_v", "_rest"), lambda z: z["_rest"] >= (threshold - 1e-9) ** 2),
+                         lambda z: z["_v"]["term"])
+    p = materialise(heads.select("recording_id", "_id", F.map_from_entries(F.transform(
+        "_v", lambda v: F.struct(v["term"], v["w"]))).alias("_m"), prefix.alias("_p")))
+    rare = p.select("recording_id", "_id", F.explode("_p").alias("term"))
+    met = (rare.withColumnRenamed("_id", "a").join(rare.withColumnRenamed("_id", "b"), ["recording_id", "term"])
+           .where("a < b").select("recording_id", "a", "b").distinct())
+    left = p.select("recording_id", F.col("_id").alias("a"), F.col("_m").alias("_ma"))
+    right = p.select("recording_id", F.col("_id").alias("b"), F.col("_m").alias("_mb"))
+    dot = F.aggregate(F.map_entries("_ma"), F.lit(0.0),
+                      lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("_mb", e["key"]), F.lit(0.0)))
+    pairs = (met.join(left, ["recording_id", "a"]).join(right, ["recording_id", "b"])
+             .select("recording_id", "a", "b", dot.alias("sim")))
+    return pairs.where(F.round("sim", 9) >= threshold).unionByName(copies)
