@@ -131,18 +131,17 @@ def _pairs(keys: Column) -> Column:
                       lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def doubled_words(tail: Column, head: Column) -> tuple[Column, Column]:
-    """Inputs of the alignment, null where the two share no pair of words in a row.
+def last_words(keys: Column) -> Column:
+    return F.slice(keys, F.greatest(F.size(keys) - OVERLAP_MAX_WORDS, F.lit(0)) + 1, OVERLAP_MAX_WORDS)
 
-    Only such rows ever reach Python, and never with more than eighty words a side.
+
+def worth_aligning(tail: Column, head: Column) -> Column:
+    """Whether two lists of at most eighty keys share a pair of words in a row.
+
+    Only such rows ever reach Python.
     """
-    def side(which):
-        def pick(t):
-            return tx.let(F.slice(head, 1, OVERLAP_MAX_WORDS), lambda h: F.when(
-                (F.size(t) >= OVERLAP_MIN_WORDS) & (F.size(h) >= OVERLAP_MIN_WORDS)
-                & F.arrays_overlap(_pairs(t), _pairs(h)), t if which == "tail" else h))
-        return tx.let(F.slice(tail, F.greatest(F.size(tail) - OVERLAP_MAX_WORDS, F.lit(0)) + 1, OVERLAP_MAX_WORDS), pick)
-    return side("tail"), side("head")
+    return ((F.size(tail) >= OVERLAP_MIN_WORDS) & (F.size(head) >= OVERLAP_MIN_WORDS)
+            & F.arrays_overlap(_pairs(tail), _pairs(head)))
 
 
 def cut_from_runs(runs: Column) -> Column:
@@ -166,12 +165,12 @@ def with_lookback(segments: DataFrame) -> DataFrame:
 
 def trim_overlap(segments: DataFrame) -> DataFrame:
     """Cut the head of a segment that the two before it already said; ``overlap_cut`` words."""
-    s = with_lookback(segments)
-    tail, head = doubled_words(F.col("recent"), _keys(F.col("ws")))
-    s = s.withColumns({"_t": tail, "_h": head}).withColumn("_runs", aligned_runs("_t", "_h"))
+    s = with_lookback(segments).withColumn("_head", _keys(F.slice("ws", 1, OVERLAP_MAX_WORDS)))
+    s = s.withColumn("_tail", last_words(F.col("recent"))).withColumn("_worth", worth_aligning(F.col("_tail"), F.col("_head")))
+    s = s.withColumn("_runs", aligned_runs(F.when(F.col("_worth"), F.col("_tail")), F.when(F.col("_worth"), F.col("_head"))))
     s = s.withColumn("overlap_cut", cut_from_runs(F.col("_runs")))
     return (s.withColumn("ws", F.slice("ws", F.col("overlap_cut") + 1, F.size("ws")))
-            .drop("_t", "_h", "_runs", "recent"))
+            .drop("_tail", "_head", "_worth", "_runs", "recent"))
 
 
 _CREDIT = r" (?:autore|sottotitoli)(?: [^ ]+){0,%d}? qtss(?= |$)" % (CREDIT_WORDS - 1)
@@ -202,10 +201,12 @@ def cut_credits(segments: DataFrame) -> DataFrame:
     s = s.withColumn("_bits", F.transform("_sizes", lambda n, i: F.slice(
         "ws", before(F.col("_sizes"), i) + before(F.col("_gaps"), i) + 1, n)))
     # What was said before each part, and the part itself, as the alignment wants them.
-    sides = F.transform("_bits", lambda b, i: tx.let(
-        F.concat("recent", _keys(F.flatten(F.slice("_bits", F.lit(1), i)))),
-        lambda said: tx.let(_keys(b), lambda own: F.struct(*[
-            F.when(i > 0, side).alias(n) for n, side in zip("th", doubled_words(said, own), strict=True)]))))
+    def both(said, own):
+        return F.when(worth_aligning(said, own), F.struct(said.alias("t"), own.alias("h")))
+
+    sides = F.transform("_bits", lambda b, i: F.when(i > 0, tx.let(
+        last_words(F.concat("recent", _keys(F.flatten(F.slice("_bits", F.lit(1), i))))),
+        lambda said: tx.let(_keys(F.slice(b, 1, OVERLAP_MAX_WORDS)), lambda own: both(said, own)))))
     s = s.withColumn("_sides", sides)
     s = s.withColumn("_runs", aligned_runs_each(F.transform("_sides", lambda x: x["t"]), F.transform("_sides", lambda x: x["h"])))
     left = F.flatten(F.zip_with("_bits", "_runs", lambda b, r: F.slice(b, cut_from_runs(r) + 1, F.size(b))))
