@@ -112,3 +112,32 @@ def similar_pairs(weighted: DataFrame, threshold: float, ids: tuple[str, ...] =
     pairs = (met.join(left, ["recording_id", "a"]).join(right, ["recording_id", "b"])
              .select("recording_id", "a", "b", dot.alias("sim")))
     return pairs.where(F.round("sim", 9) >= threshold).unionByName(copies)
+
+
+def greedy_leaders(weighted: DataFrame, threshold: float, ids: tuple[str, ...]) -> DataFrame:
+    """In order, each item joins the first earlier leader it is like, or leads: ``recording_id, id, leader``.
+
+    Only items that follow somebody are listed. Rounds settle every item whose earlier
+    neighbours are settled, all recordings at once.
+    """
+    pairs = materialise(similar_pairs(weighted, threshold, ids))
+    copies, real = pairs.where("sim >= 1"), pairs
+    left = materialise(real.select("recording_id", "a", "b").distinct())
+    edges, leaders = left, None
+    while not left.isEmpty():
+        blocked = left.select("recording_id", "b").distinct()
+        free = left.select("recording_id", "a").distinct().join(
+            blocked.withColumnRenamed("b", "a"), ["recording_id", "a"], "left_anti")
+        leaders = materialise(free if leaders is None else leaders.unionByName(free))
+        settled = edges.join(leaders, ["recording_id", "a"], "left_semi").select("recording_id", F.col("b").alias("x")).distinct()
+        gone = leaders.select("recording_id", F.col("a").alias("x")).unionByName(settled)
+        left = materialise(left.join(gone.withColumnRenamed("x", "a"), ["recording_id", "a"], "left_anti")
+                           .join(gone.withColumnRenamed("x", "b"), ["recording_id", "b"], "left_anti"))
+    if leaders is None:
+        return edges.select("recording_id", F.col("b").alias("id"), F.col("a").alias("leader"))
+    direct = edges.join(leaders, ["recording_id", "a"], "left_semi").groupBy("recording_id", "b").agg(F.min("a").alias("leader"))
+    # A copy of an item that itself follows a leader follows the same one.
+    through = (copies.select("recording_id", F.col("a").alias("_f"), "b")
+               .join(direct.select("recording_id", F.col("b").alias("_f"), "leader"), ["recording_id", "_f"])
+               .select("recording_id", "b", "leader"))
+    return direct.unionByName(through).groupBy("recording_id", F.col("b").alias("id")).agg(F.min("leader").alias("leader"))
