@@ -20,4 +20,4 @@ def query(name: str, oracle: str | None = None):
 
 
 from colloquy.queries import fixtures_q  # noqa: E402,F401
-from colloquy.queries import cleaning_q, layout_q, subtitles_q, summary_q, catalogue_q, notes_q  # noqa: E402,F401
+from colloquy.queries import cleaning_q, layout_q, subtitles_q, summary_q, catalogue_q, notes_q, spelling_q, files_q, streaming_q  # noqa: E402,F401
