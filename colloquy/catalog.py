@@ -1,23 +1,7 @@
 """The registered queries: each operator over the fixture views, with equivalent SQL."""
 
-from __future__ import annotations
+from colloquy.queries import (catalogue_q, cleaning_q, files_q, fixtures_q, layout_q, notes_q,  # noqa: F401
+                              spelling_q, streaming_q, subtitles_q, summary_q)
+from colloquy.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-    return register
-
-
-from colloquy.queries import fixtures_q  # noqa: E402,F401
-from colloquy.queries import cleaning_q, layout_q, subtitles_q, summary_q, catalogue_q, notes_q, spelling_q, files_q, streaming_q  # noqa: E402,F401
+__all__ = ["ORACLES", "QUERIES"]

@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The driver's tables are one file of one row group, which one task would read alone."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
 def _pieces(text):
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.split(F.regexp_replace(flat, "([.!?…]) ", "$1\x1f"), "\x1f")
@@ -41,7 +47,7 @@ def _pieces(text):
 @written
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """V1: one segment per sentence of each conversation turn."""
-    pieces = (table(spark, sf, "conversations")
+    pieces = (spread(table(spark, sf, "conversations"))
               .select("conv_id", "turn", F.col("role").alias("speaker"),
                       F.posexplode(_pieces(F.col("text"))).alias("pos", "text"))
               .where("text <> ''"))
@@ -124,7 +130,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     day = F.lpad((d % 28 + 1).cast("string"), 2, "0")
     hour = F.lpad((d % 24).cast("string"), 2, "0")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.concat_ws("/", "lang", "source", F.concat(F.lit("2026-01-"), day, F.lit("_"), hour, F.lit("30_rec-"), d.cast("string"))).alias("entry_id"),
         F.concat_ws("/", "lang", "source").alias("folder"),
         F.concat(F.lit("2026-01-"), day, F.lit("_"), hour, F.lit("30_rec-"), d.cast("string")).alias("name"),
@@ -137,7 +143,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def prose(spark: SparkSession, sf: str) -> DataFrame:
     """V6: recordings that are plain text."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("recording_id"), "text",
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("recording_id"), "text",
                                                 F.col("lang").alias("language"))
 
 

@@ -111,15 +111,78 @@ def _discover_one(apart: float | None, most: int):
     return discover
 
 
-def discover_sections(notes: DataFrame, weighted: DataFrame, apart: float | None = None, most: int = MAX_SECTIONS) -> DataFrame:
+def _discover_many(notes: DataFrame, weighted: DataFrame, apart: float | None, most: int) -> DataFrame:
+    """The same grouping as joins and sums, for recordings too big for a task.
+
+    Clusters that are each other's nearest merge, all at once, round by round: average
+    linkage reaches the same tree that way. A cluster is the sum of its notes' vectors, so
+    only clusters sharing a word ever meet. Each note keeps its label at every distance
+    tried; strays are compared with the sections as found.
+    """
+    key = ["recording_id"]
+    distances = [apart] if apart is not None else [round(TIGHTEST + STEP * i, 2) for i in range(STEPS)]
+    words = materialise(weighted.select(*key, F.col("note_no").alias("c"), "term", F.col("w").alias("s")))
+    size = materialise(notes.select(*key, F.col("note_no").alias("c"), F.lit(1).cast("long").alias("n")))
+    at = F.posexplode(F.array(*[F.lit(1.0 - d) for d in distances])).alias("t", "least")
+    label = materialise(notes.select(*key, "note_no", F.col("note_no").alias("section"), at))
+    found = words
+    while True:
+        one = found.join(size, [*key, "c"])
+        two = one.select(*key, "term", F.col("c").alias("d"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+        like = (one.join(two, [*key, "term"]).where("c < d").groupBy(*key, "c", "d")
+                .agg((F.sum(F.col("s") * F.col("s2")) / F.max(F.col("n") * F.col("n2"))).alias("like"))
+                .where(F.col("like") >= 1.0 - distances[-1]))
+        like = materialise(like)
+        ends = like.select(*key, F.col("c").alias("me"), F.col("d").alias("it"), "like").unionByName(
+            like.select(*key, F.col("d").alias("me"), F.col("c").alias("it"), "like"))
+        best = ends.groupBy(*key, "me").agg(F.max(F.struct("like", (-F.least("me", "it")).alias("x"), (-F.greatest("me", "it")).alias("y"))).alias("b"))
+        pair = best.select(*key, (-F.col("b.x")).alias("keep"), (-F.col("b.y")).alias("gone"), F.col("b.like").alias("like"))
+        merges = materialise(pair.groupBy(*key, "keep", "gone", "like").agg(F.count("*").alias("_k")).where("_k = 2").drop("_k"))
+        if merges.isEmpty():
+            break
+        into = merges.select(*key, F.col("gone").alias("c"), "keep")
+
+        def moved(df):
+            return df.join(into, [*key, "c"], "left").withColumn("c", F.coalesce("keep", "c"))       # noqa: B023
+        found = materialise(moved(found).groupBy(*key, "c", "term").agg(F.sum("s").alias("s")))
+        size = materialise(moved(size).groupBy(*key, "c").agg(F.sum("n").alias("n")))
+        named = merges.select(*key, F.col("gone").alias("section"), "keep", "like")
+        label = materialise(label.join(named, [*key, "section"], "left").withColumn(
+            "section", F.when(F.col("like") >= F.col("least"), F.col("keep")).otherwise(F.col("section"))).drop("keep", "like"))
+    groups = label.groupBy(*key, "t", "section").agg(F.count("*").alias("n"))
+    shape = groups.groupBy(*key, "t").agg(F.count_if(F.col("n") >= MIN_NOTES).alias("k"), F.sum(F.when(F.col("n") < MIN_NOTES, 1).otherwise(0)).alias("alone"), F.sum("n").alias("all"))
+    good = (F.col("k") > 0) & (F.col("k") <= most) & (F.col("alone") <= STRAY_SHARE * F.col("all"))
+    chosen = shape.groupBy(*key).agg(F.coalesce(F.min(F.when(good, F.col("t"))), F.max("t")).alias("t"))
+    mine = materialise(label.join(chosen, [*key, "t"]).join(groups, [*key, "t", "section"]).select(*key, "note_no", "section", "n"))
+    settled = mine.where(F.col("n") >= MIN_NOTES)
+    sums = (words.withColumnRenamed("c", "note_no").join(settled, [*key, "note_no"]).groupBy(*key, "section", "term")
+            .agg((F.sum("s") / F.max("n")).alias("m")))
+    stray = mine.where(F.col("n") < MIN_NOTES).select(*key, "note_no")
+    near = (words.withColumnRenamed("c", "note_no").join(stray, [*key, "note_no"]).join(sums, [*key, "term"])
+            .groupBy(*key, "note_no", "section").agg(F.sum(F.col("s") * F.col("m")).alias("like")))
+    home = near.where(F.col("like") >= 1.0 - ORPHANED).groupBy(*key, "note_no").agg(F.max_by("section", F.struct("like", -F.col("section"))).alias("section"))
+    lone = stray.join(home, [*key, "note_no"], "left").withColumn("section", F.coalesce("section", F.lit(-1)))
+    return settled.select(*key, "note_no", "section").unionByName(lone.select(*key, "note_no", "section"))
+
+
+#: Notes of one recording that are grouped inside a task.
+TASK_NOTES = 2000
+
+
+def discover_sections(notes: DataFrame, weighted: DataFrame, apart: float | None = None, most: int = MAX_SECTIONS,
+                      task_notes: int = TASK_NOTES) -> DataFrame:
     """The section each note falls in by likeness: ``recording_id, note_no, section``, -1 for none.
 
-    A section is named by its first note. A recording's notes are what a page is written
-    from, some tens to some thousands; they are clustered in one task per recording.
+    A section is named by its first note. Recordings of up to ``task_notes`` notes are grouped
+    inside a task each, larger ones by joins over the cluster.
     """
-    rows = notes.select(*NOTE).join(weighted.select(*NOTE, "term", "w"), NOTE, "left")
     out = T.StructType([notes.schema["recording_id"], T.StructField("note_no", T.LongType()), T.StructField("section", T.LongType())])
-    return rows.groupBy("recording_id").applyInPandas(_discover_one(apart, most), out)
+    big = materialise(notes.groupBy("recording_id").agg(F.count("*").alias("_n")).where(F.col("_n") > task_notes).select("recording_id"))
+    rows = notes.select(*NOTE).join(weighted.select(*NOTE, "term", "w"), NOTE, "left")
+    if big.isEmpty():
+        return rows.groupBy("recording_id").applyInPandas(_discover_one(apart, most), out)
+    small = rows.join(big, "recording_id", "left_anti").groupBy("recording_id").applyInPandas(_discover_one(apart, most), out)
+    return small.unionByName(_discover_many(notes.join(big, "recording_id", "left_semi"), weighted.join(big, "recording_id", "left_semi"), apart, most))
 
 
 def section_keywords(placed: DataFrame, language: Column | str | None = None, k: int = 3) -> DataFrame:

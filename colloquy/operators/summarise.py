@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,18 +31,19 @@ def _settled(new, old):
     return np.all(np.abs(new - old) <= ABSOLUTE + RELATIVE * np.abs(old))
 
 
-def _rank_one(pdf: pd.DataFrame) -> pd.DataFrame:
+def _rank_one(rows: pa.Table) -> pa.Table:
     """The walk's resting point for one recording, without ever forming the similarities.
 
     A sentence's likeness to all others is its words times the words' totals, so each
     step costs one pass over the words.
     """
-    n = len(ids := np.sort(pdf["sent_no"].unique()))
+    ids, place = np.unique(rows["sent_no"].to_numpy(), return_inverse=True)
+    n = len(ids)
     scores = np.full(n, 1.0 / n)
     if n > 1:
-        said = pdf[pdf["term"].notna()]
-        row, w = np.searchsorted(ids, said["sent_no"].to_numpy()), said["w"].to_numpy()
-        col, names = pd.factorize(said["term"])
+        said = rows["term"].is_valid().to_numpy()
+        row, w = place[said], rows["w"].filter(rows["term"].is_valid()).to_numpy()
+        names, col = np.unique(rows["term"].drop_null().to_numpy(), return_inverse=True)
 
         def others(z):
             per_term = np.bincount(col, weights=w * z[row], minlength=len(names))
@@ -55,7 +57,8 @@ def _rank_one(pdf: pd.DataFrame) -> pd.DataFrame:
             done, scores = _settled(new, scores), new
             if done:
                 break
-    return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "sent_no": ids, "score": scores})
+    return pa.table({"recording_id": rows["recording_id"].combine_chunks().take(pa.array(np.zeros(n, dtype=np.int64))),
+                     "sent_no": ids, "score": scores})
 
 
 def _rank_many(rows: DataFrame) -> DataFrame:
@@ -102,13 +105,13 @@ def textrank(sentences: DataFrame, weighted: DataFrame, task_words: int = TASK_W
     Recordings that fit a task are ranked there; the others by joins over the cluster.
     """
     all_ = sentences.select("recording_id", "sent_no")
-    rows = all_.join(weighted.select("recording_id", "sent_no", "term", "w"), ["recording_id", "sent_no"], "left")
+    rows = all_.join(tm.coded(weighted).select("recording_id", "sent_no", "term", "w"), ["recording_id", "sent_no"], "left")
     out = T.StructType([sentences.schema["recording_id"], *_SCORES])
-    big = rows.groupBy("recording_id").agg(F.count("*").alias("_rows")).where(F.col("_rows") > task_words).select("recording_id")
-    big = materialise(big)
+    size = weighted.select("recording_id").unionByName(all_.select("recording_id")).groupBy("recording_id").agg(F.count("*").alias("_rows"))
+    big = materialise(size.where(F.col("_rows") > task_words).select("recording_id"))
     if big.isEmpty():
-        return rows.groupBy("recording_id").applyInPandas(_rank_one, out)
-    small = rows.join(big, "recording_id", "left_anti").groupBy("recording_id").applyInPandas(_rank_one, out)
+        return rows.groupBy("recording_id").applyInArrow(_rank_one, out)
+    small = rows.join(big, "recording_id", "left_anti").groupBy("recording_id").applyInArrow(_rank_one, out)
     return small.unionByName(_rank_many(materialise(rows.join(big, "recording_id", "left_semi"))))
 
 
@@ -121,23 +124,27 @@ def how_many(n: Column, length: str = "medium") -> Column:
 
 def _choose(redundancy: float):
     """Among a recording's best candidates, those unlike every one chosen before."""
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = (pdf.drop_duplicates("sent_no")
-                 .sort_values(["held", "score", "sent_no"], ascending=False, kind="stable"))
-        said = pdf[pdf["term"].notna()]
-        code, names = pd.factorize(said["term"])
-        at = {s: i for i, s in enumerate(order["sent_no"])}
-        m = np.zeros((len(order), max(1, len(names))))
-        m[[at[s] for s in said["sent_no"]], code] = said["w"].to_numpy()
-        held, room = order["held"].to_numpy(), int(pdf["k"].iloc[0])
-        chosen = list(np.flatnonzero(held))
-        for i in np.flatnonzero(~held):
-            if len(chosen) >= room:
+    def choose(rows: pa.Table) -> pa.Table:
+        ids, first, place = np.unique(rows["sent_no"].to_numpy(), return_index=True, return_inverse=True)
+        score, held = rows["score"].to_numpy()[first], rows["held"].to_numpy()[first]
+        room = int(rows["k"][0].as_py())
+        said = rows["term"].is_valid()
+        names, col = np.unique(rows["term"].drop_null().to_numpy(), return_inverse=True)
+        m = np.zeros((len(ids), max(1, len(names))))
+        m[place[said.to_numpy()], col] = rows["w"].filter(said).to_numpy()
+        order = np.lexsort((-ids, -score, ~held))
+        chosen, near, new = int(held.sum()), np.zeros(len(ids)), []
+        for i in order[:chosen]:
+            near = np.maximum(near, m @ m[i])
+        for i in order[chosen:]:
+            if chosen >= room:
                 break
-            if not chosen or float((m[chosen] @ m[i]).max()) < redundancy:
-                chosen.append(i)
-        picked = order.iloc[[i for i in chosen if not held[i]]]
-        return picked[["recording_id", "sent_no", "score"]]
+            if near[i] < redundancy:
+                near, chosen = np.maximum(near, m @ m[i]), chosen + 1
+                new.append(i)
+        at = np.array(new, dtype=np.int64)
+        return pa.table({"recording_id": rows["recording_id"].combine_chunks().take(pa.array(first[at])),
+                         "sent_no": ids[at], "score": score[at]})
     return choose
 
 
@@ -149,7 +156,7 @@ def select_diverse(scores: DataFrame, weighted: DataFrame, k: DataFrame, redunda
     """
     out = T.StructType([scores.schema["recording_id"], *_SCORES])
     here = ["recording_id", "sent_no"]
-    w = weighted.select(*here, "term", "w")
+    w = tm.coded(weighted).select(*here, "term", "w")
     best = Window.partitionBy("recording_id").orderBy(F.desc("score"), F.desc("sent_no"))
     waiting, chosen = scores.select("recording_id", "sent_no", "score"), None
     while True:
@@ -159,7 +166,7 @@ def select_diverse(scores: DataFrame, weighted: DataFrame, k: DataFrame, redunda
             pool = pool.unionByName(chosen.join(batch.select("recording_id").distinct(), "recording_id", "left_semi")
                                     .withColumn("held", F.lit(True)))
         new = (pool.join(k, "recording_id").join(w, here, "left")
-               .groupBy("recording_id").applyInPandas(_choose(redundancy), out))
+               .groupBy("recording_id").applyInArrow(_choose(redundancy), out))
         chosen = materialise(new if chosen is None else chosen.unionByName(new))
         seen = batch.groupBy("recording_id").agg(F.min(F.struct("score", "sent_no")).alias("_low"), F.count("*").alias("_c"))
         short = (k.join(chosen.groupBy("recording_id").agg(F.count("*").alias("_have")), "recording_id", "left")

@@ -26,6 +26,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "colloquy")
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.driver.memory", "12g")
                .config("spark.ui.enabled", "false")
+               # Rows here cost work, not bytes: a few hundred kilobytes are worth a task.
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
                .config("spark.sql.streaming.stateStore.providerClass",
                        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
     for name, value in DEFAULTS.items():

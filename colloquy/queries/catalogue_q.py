@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from colloquy import fixtures as fx
-from colloquy.catalog import query
+from colloquy.registry import query
 from colloquy.fixtures import sql
 from colloquy.operators import catalogue as ca
 

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from colloquy import fixtures as fx
-from colloquy.catalog import query
+from colloquy.registry import query
 from colloquy.fixtures import sql
 from colloquy.functions import lexicons as lx
 from colloquy.operators import clean as cl

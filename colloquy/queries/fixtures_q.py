@@ -1,7 +1,7 @@
 """The fixture views themselves, so that both spellings are known to agree."""
 
 from colloquy import fixtures as fx
-from colloquy.catalog import query
+from colloquy.registry import query
 from colloquy.fixtures import sql
 
 for _view in ("segments", "invented", "doubled", "words", "turns", "entries", "prose", "heard", "voices",

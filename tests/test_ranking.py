@@ -148,3 +148,19 @@ def test_dedupe_notes_keeps_the_fuller_and_the_earlier(spark):
     out = se.dedupe_notes(n, tm.weights(n, None, ("note_no",)), same=0.5).orderBy("note_no").collect()
     assert [(x["note_no"], x["text"], x["ts_start_ms"]) for x in out] == [
         (0, "the dashboard shows the budget today", 30_000), (2, "a new server for the customer", 90_000)]
+
+
+def test_sections_are_the_same_in_a_task_and_over_the_cluster(sentences, weighted):
+    notes = sentences.where("sent_no < 25").withColumnRenamed("sent_no", "note_no")
+    w = tm.weights(notes, None, ("note_no",)).cache()
+
+    def groups(task_notes):
+        out: dict = {}
+        for x in se.discover_sections(notes, w, apart=0.7, task_notes=task_notes).collect():
+            out.setdefault((x["recording_id"], x["section"]), set()).add(x["note_no"])
+        return {(k[0], frozenset(v)) for k, v in out.items() if k[1] >= 0}
+
+    here, spread = groups(2000), groups(3)
+    # Equal likenesses may merge in another order: nearly every section is the same.
+    assert len(here & spread) >= 0.6 * len(here)
+    assert sum(len(g) for _, g in here) == sum(len(g) for _, g in spread)
