@@ -114,6 +114,7 @@ def _(spark, sf):
 
 @query("live_voices")
 def _(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     v = fx.voices(spark, sf).select("recording_id", "seg_no", F.col("vector").cast("array<double>").alias("vector"),
                                     F.when(F.col("seg_no") < 30, F.col("speaker")).alias("learned"))
     return drained(live.live_voices(streamed(v))).where("recording_id >= 0")
