@@ -34,6 +34,8 @@ FENCE = "-----BEGIN TRANSCRIPT-----"
 MIN_ANSWER = 40
 SAME_HEADING = 0.62
 FALLBACK = "fact"
+#: Headings a catalogue may hold; a template has at most a dozen sections.
+MOST_KINDS = 200
 EXAMPLE_SHARE, EXAMPLE_MIN_WORDS, EXAMPLE_STEM = 0.85, 4, 4
 SENTENCE_OVERHEAD = 8
 DATES = (r"(?i)\b(\d{1,2}[/.-]\d{1,2}(?:[/.-]\d{2,4})?"
@@ -88,11 +90,13 @@ def route_headings(headings: DataFrame, kinds: DataFrame, language: str = "it")
     The headings of the language and the English ones are known. Equal after folding wins;
     else the nearest, unless two kinds are equally near. Only distinct headings are compared.
     """
-    known = kinds.where(F.col("language").isin(language, "en")).select("ord", "name", tx.heading_key(F.col("heading")).alias("key"))
-    # Two headings for each kind of note: a table fixed by the catalogue.
-    table = known.agg(F.sort_array(F.collect_list(F.struct("ord", "name", "key"))).alias("known"))
+    # Two headings for each kind of note: a table fixed by the catalogue, held as a literal.
+    table = kinds.where(F.col("language").isin(language, "en")).orderBy("ord", "language").limit(MOST_KINDS + 1).collect()
+    if len(table) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} headings to choose from")
+    known = F.array(*[F.struct(F.lit(k["name"]).alias("name"), tx.heading_key(F.lit(k["heading"])).alias("key")) for k in table])
     h = headings.select("heading").distinct().withColumn("key", tx.heading_key(F.col("heading"))).where("key <> ''")
-    h = h.join(F.broadcast(table), F.lit(True))
+    h = h.withColumn("known", known)
     exact = F.get(F.filter("known", lambda k: k["key"] == F.col("key")), 0)["name"]
     h = h.withColumn("exact", exact).withColumn("near", heading_likeness("key", F.transform("known", lambda k: k["key"])))
     scored = F.zip_with("known", "near", lambda k, s: F.struct(s.alias("s"), k["name"].alias("name")))
