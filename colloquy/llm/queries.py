@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import oracles, ring, warc
+from colloquy.llm import oracles, ring, surrogates, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -40,3 +40,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The archives are parsed once; only headers and lengths of the records are kept for the joins.
     records = materialise(warc.read(spark, path, payloads=False))
     return warc.page_table(warc.assemble(records)).drop("url")
+
+
+@query("op2_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, "text", count="n_replaced")
