@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import oracles, ring, surrogates, warc
+from colloquy.llm import huffman, oracles, ring, surrogates, tokens, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -24,6 +24,11 @@ def query(name: str):
     return register
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -46,3 +51,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.pseudonymise(docs, "text", count="n_replaced")
+
+
+@query("op4_huffman_ids")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.store(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op6_byte_level_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
