@@ -9,3 +9,19 @@ select page_id, payload_bytes, payload_digest,
        case when first_id != page_id then first_id end as refers_to
 from d left join f using (payload_digest)
 """
+
+OP5_BOTTOM_K_DEDUP = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then []::varchar[] when len(words) < 5 then [array_to_string(words, ' ')]
+    else [array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)] end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by 1),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b using (shingle) where a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 85 * (a.n + b.n - i)),
+both_ways as (select x, y from links union all select y, x from links),
+reach(node, root) as (select doc_id, doc_id from documents union select y, root from reach join both_ways on x = node),
+c as (select node, min(root) as component_id from reach group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join n using (doc_id) join c on c.node = d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import huffman, oracles, ring, surrogates, tokens, warc
+from colloquy.llm import huffman, minhash, oracles, ring, surrogates, tokens, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -61,3 +61,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_byte_level_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op5_bottom_k_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
