@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import huffman, minhash, oracles, ring, surrogates, tokens, warc
+from colloquy.llm import huffman, minhash, oracles, packing, ring, surrogates, tokens, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -66,3 +66,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bottom_k_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
