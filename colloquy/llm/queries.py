@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import huffman, minhash, oracles, packing, ring, surrogates, tokens, warc
+from colloquy.llm import huffman, minhash, oracles, packing, ring, surrogates, tokens, toxicity, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -71,3 +71,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_factorization_machine")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
