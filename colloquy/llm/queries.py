@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import huffman, minhash, oracles, packing, ring, surrogates, tokens, toxicity, warc
+from colloquy.llm import huffman, minhash, oracles, packing, permutation, ring, surrogates, tokens, toxicity, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -76,3 +76,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_factorization_machine")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_permutation_index")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest(table(spark, sf_dir, "embeddings"))
