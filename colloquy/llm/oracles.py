@@ -25,3 +25,15 @@ c as (select node, min(root) as component_id from reach group by 1)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d left join n using (doc_id) join c on c.node = d.doc_id
 """
+
+OP3_HNSW_DEDUP = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings where embedding is not null),
+ok as (select * from v where list_count(e) = len(e) and list_bool_and([isfinite(x) for x in e]) and list_bool_or([x != 0 for x in e])),
+links as (select a.vec_id as x, b.vec_id as y from ok a join ok b on a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+n as (select x, count(*) as n from links group by 1),
+reach(node, root) as (select vec_id, vec_id from embeddings union select y, root from reach join links on x = node),
+c as (select node, min(root) as component_id from reach group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings left join n on x = vec_id join c on node = vec_id
+"""

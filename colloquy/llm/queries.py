@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import huffman, minhash, oracles, packing, permutation, ring, surrogates, tokens, toxicity, warc
+from colloquy.llm import hnsw, huffman, minhash, oracles, packing, permutation, ring, surrogates, tokens, toxicity, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -81,3 +81,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_permutation_index")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_hnsw_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
