@@ -168,8 +168,8 @@ def _cross(lists: DataFrame, classes: DataFrame, percent: int, best: bool) -> Da
     return dealt.groupBy("value", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """``(key, n_shingles, component_id, kept)`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, text_key: bool = False) -> DataFrame:
+    """``(key, n_shingles, component_id, kept)`` for every row of ``docs``; with ``text_key`` also the hash of its text.
 
     Rows are linked if 100 times the shingles they share is at least ``percent`` times the shingles of either;
     ``component_id`` is the smallest key reachable by links, and the row of that key is kept.
@@ -201,7 +201,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = classes.select("set_key", "id", "rep").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = members.join(least, "component").select("set_key", "component_id")
-    out = rows.select("doc_id", "set_key", "n").where("n > 0").join(named, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = out.unionByName(alone)
-    return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    own = ["doc_id", "text_key", F.col("n").alias("n_shingles")]
+    out = rows.select("doc_id", "text_key", "set_key", "n").where("n > 0").join(named, "set_key").select(*own, "component_id")
+    out = out.unionByName(rows.where("n = 0").select(*own, F.col("doc_id").alias("component_id")))
+    return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                      *(["text_key"] if text_key else []))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, one of those repeated with key and text.
+
+    Rows go by an anti-join with the dropped keys, which are far fewer than the rows, so that texts are not shuffled
+    while those can be broadcast.
+    """
+    found = materialise(near_duplicates(docs, key, text, percent, text_key=True).select(F.col(key).alias("dup_key"), F.col("text_key").alias("dup_text"), "kept"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("dup_key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("dup_text"))
+    dropped = materialise(found.where(~F.col("kept")).select("dup_key", "dup_text").distinct())
+    again = materialise(found.where("kept and dup_key is not null").groupBy("dup_key", "dup_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    stay = docs.join(maybe_broadcast(dropped), same, "left_anti")
+    repeated = docs.join(maybe_broadcast(again), same, "left_semi")
+    one = repeated.withColumn("dup_text", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([key, "dup_text"]).drop("dup_text")
+    return stay.join(maybe_broadcast(again), same, "left_anti").unionByName(one)

@@ -182,12 +182,14 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", column: str = "
         at = model.index()
         for batch in batches:
             out = []
-            for value in batch.column(len(kept)):
+            for value in batch.column(where):
                 rows = at[terms(value.as_py())]
                 out.append(model.score(rows[rows >= 0]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(out, pa.float64())], names=[*kept, column])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("text__")).mapInArrow(run, schema)
+    where = kept.index(text) if text in kept else len(kept)
+    more = [] if text in kept else [F.col(f"`{text}`").alias("text__")]
+    return docs.select(*[F.col(f"`{c}`") for c in kept], *more).mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
