@@ -75,18 +75,18 @@ class Machine:
 
 
 def telling(texts: list[np.ndarray], labels: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """Buckets in at least 4 texts whose share of label 1 differs from the overall one by over 3 standard errors."""
+    """Buckets in at least 4 texts whose share of label 1 differs from the overall one by over 2.5 standard errors."""
     both = np.concatenate(texts) if texts else np.zeros(0, np.int32)
     owner = np.repeat(labels, [len(t) for t in texts])
     df, pos = np.bincount(both, minlength=BUCKETS), np.bincount(both, weights=owner, minlength=BUCKETS)
     share = labels.mean() if len(labels) else 0.0
     error = np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
     z = np.where(df >= 4, np.abs(pos - df * share) / error, 0)
-    some = np.flatnonzero(z > 3)
+    some = np.flatnonzero(z > 2.5)
     return np.sort(some[np.argsort(-z[some], kind="stable")][:most])
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.03, seed: int = 7) -> Machine:
+def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.03, seed: int = 7) -> Machine:
     """Fit by Adam on the logistic loss with weight decay. Without both labels the score is the share of label 1."""
     share = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4)) if len(labels) else 1e-4
     bias = float(np.log(share / (1 - share)))
@@ -122,7 +122,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: in
             np.add.at(grad, flat, each)
             grad[-1, 0] = off.sum()
             touched = np.append(np.unique(flat), len(kept))
-            g = grad[touched] + theta[touched] * np.array([1e-5] + [1e-4] * FACTORS)
+            g = grad[touched] + theta[touched] * np.array([1e-5] + [1e-3] * FACTORS)
             step += 1
             m[touched] = 0.9 * m[touched] + 0.1 * g
             s[touched] = 0.999 * s[touched] + 0.001 * g * g
