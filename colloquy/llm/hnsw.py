@@ -20,11 +20,11 @@ from colloquy.llm.vectors import shards_for, sound, valid
 from colloquy.plans.store import materialise
 
 #: Neighbours a node chooses on insertion (twice as many are kept on the lowest level), and the beam it chooses from.
-NEIGHBOURS, BUILD_BEAM = 12, 48
+NEIGHBOURS, BUILD_BEAM = 16, 64
 #: First beam of a query; doubled while needed. Past a quarter of the shard its vectors are compared one and all.
 BEAM = 32
 #: Queries of a task that are audited, and the share of their links that must be found.
-AUDITED, RECALL = 512, 0.999
+AUDITED, RECALL = 512, 1.0
 #: Queries in a block, and those that advance through a graph together.
 BLOCK, TOGETHER = 1 << 14, 512
 

@@ -65,7 +65,7 @@ class Bins:
             found = None
             for sources, bins in self.by_room[room].items():
                 if not sources >> bit & 1:
-                    own = next((b for b in bins if not self.clusters[b] >> cluster & 1), None)
+                    own = min((b for b in bins if not self.clusters[b] >> cluster & 1), default=None)
                     if own is not None and (found is None or own < found):
                         found = own
             if found is not None:
