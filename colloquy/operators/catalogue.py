@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
-from colloquy.plans.store import materialise
 
 # --- fixed values: clip lengths offered, half-open but for the last ------------
 CLASSES = ("under_30_min", "30_to_60_min", "1_to_2_h", "over_2_h")
@@ -37,13 +40,21 @@ def has_written_notes(notes: Column) -> Column:
 def search_library(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """Entries whose text or notes contain each query, whatever the case.
 
-    ``queries(query)`` is what somebody typed: a handful of short strings, held as one
-    literal list, so the corpus is read once and nothing is shuffled but the hits.
+    ``queries(query)`` is what somebody typed: short strings, held as literals, so that nothing is
+    shuffled but the hits. The corpus is read once for each ``QUERY_BLOCK`` of them.
     """
-    wanted = [r["query"] for r in queries.select(F.trim(F.col("query")).alias("query")).distinct().limit(MOST_QUERIES + 1).collect()]
-    if len(wanted) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} searches at once")
-    wanted = [q for q in wanted if q]
+    found = [_search_block(entries, block) for block in _blocks(queries.select(F.trim(F.col("query")).alias("query")).where("query <> ''"))]
+    return reduce(DataFrame.unionByName, found or [_search_block(entries, [])])
+
+
+def _blocks(queries: DataFrame) -> Iterator[list[str]]:
+    """Distinct queries, ``QUERY_BLOCK`` at a time."""
+    rows = queries.distinct().toLocalIterator()
+    while block := [r["query"] for r in islice(rows, QUERY_BLOCK)]:
+        yield block
+
+
+def _search_block(entries: DataFrame, wanted: list[str]) -> DataFrame:
     text = F.lower(F.coalesce("text", F.lit("")))
     notes = F.lower(F.coalesce("notes", F.lit(""))) if "notes" in entries.columns else F.lit("")
     hits = F.filter(F.array(*[F.when(F.contains(text, F.lit(q.lower())) | F.contains(notes, F.lit(q.lower())), F.lit(q))
@@ -52,7 +63,7 @@ def search_library(entries: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 #: Searches answered in one pass over the corpus.
-MOST_QUERIES = 1000
+QUERY_BLOCK = 1000
 
 
 def find_entries(entries: DataFrame, queries: DataFrame) -> DataFrame:
@@ -62,18 +73,18 @@ def find_entries(entries: DataFrame, queries: DataFrame) -> DataFrame:
     ``candidates`` to show otherwise.
     """
     wanted = queries.select(F.replace(F.trim("query"), F.lit("\\"), F.lit("/")).alias("query")).distinct()
-    asked = [r["query"] for r in wanted.limit(MOST_QUERIES + 1).collect()]
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} look-ups at once")
     name, key, title = F.lower("name"), F.lower("entry_id"), F.lower(F.coalesce("title", F.lit("")))
 
     def tier(q):
         low = F.lit(q.lower())
         return F.when(F.col("entry_id") == q, 1).when(F.startswith(key, low) | F.startswith(name, low), 2).when(F.contains(title, low), 3)
 
-    hits = F.filter(F.array(*[F.struct(F.lit(q).alias("query"), tier(q).alias("tier")) for q in asked if q]),
-                    lambda h: h["tier"].isNotNull())
-    e = entries.select("entry_id", "name", F.explode(hits).alias("h")).select("entry_id", "name", "h.query", "h.tier")
+    def named(asked):
+        known = F.array(*[F.struct(F.lit(q).alias("query"), tier(q).alias("tier")) for q in asked]).cast("array<struct<query:string,tier:int>>")
+        hits = F.filter(known, lambda h: h["tier"].isNotNull())
+        return entries.select("entry_id", "name", F.explode(hits).alias("h")).select("entry_id", "name", "h.query", "h.tier")
+
+    e = reduce(DataFrame.unionByName, [named(block) for block in _blocks(wanted.where("query <> ''"))] or [named([])])
     best = e.groupBy("query", "tier").agg(F.count("*").alias("matches"), F.min("entry_id").alias("_one"))
     nearest = best.groupBy("query").agg(F.min_by(F.struct("tier", "matches", "_one"), "tier").alias("b"))
     nth = F.row_number().over(Window.partitionBy("query", "tier").orderBy(F.desc("name"), "entry_id"))
@@ -196,15 +207,10 @@ def expire_passes(cache: DataFrame, now: Column, days: int = 30) -> DataFrame:
     return cache.where(F.col("used_at") >= now - F.make_dt_interval(F.lit(days)))
 
 
-def enrich_listing(entries: DataFrame) -> DataFrame:
-    """Rows as a library page shows them: copies counted, unreadable ones flagged, newest first."""
-    copies = find_copies(entries).select("entry_id", "copies")
-    return (entries.join(copies, "entry_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-            .withColumn("readable", F.col("title").isNotNull()).orderBy(F.desc("name"), "entry_id"))
-
-
 def catalogue(entries: DataFrame, query: str) -> DataFrame:
     """The search page: matching entries, newest first, with copies counted over the whole library."""
     spark = entries.sparkSession
-    listed = materialise(enrich_listing(entries))
-    return search_library(listed, spark.createDataFrame([(query,)], "query string")).orderBy(F.desc("name"), "entry_id")
+    hits = search_library(entries, spark.createDataFrame([(query,)], "query string"))
+    copies = find_copies(entries).select("entry_id", "copies")
+    return (hits.join(copies, "entry_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+            .withColumn("readable", F.col("title").isNotNull()).orderBy(F.desc("name"), "entry_id"))

@@ -35,8 +35,10 @@ def close_open_ends(segments: DataFrame, recordings: DataFrame) -> DataFrame:
 def _opens_segment(pause_ms: int, max_ms: int, max_chars: int):
     """Mark the words that open a new segment. State: first start, last end, width, open."""
     def fold(pdf: pd.DataFrame, state: list[float]):
-        opened, last, width, is_open = state
         nan, marks = float("nan"), []
+        # A missing time crosses a block's edge as -1.
+        opened, last = (nan if x < 0 else x for x in state[:2])
+        width, is_open = state[2:]
         for word_len, start, end, stop in zip(pdf["_len"], pdf["start_ms"].astype(float),
                                               pdf["end_ms"].astype(float), pdf["_stop"], strict=True):
             fresh = not is_open

@@ -6,6 +6,8 @@ The model itself is outside: ``callouts.map_text`` is the seam.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,8 +36,8 @@ FENCE = "-----BEGIN TRANSCRIPT-----"
 MIN_ANSWER = 40
 SAME_HEADING = 0.62
 FALLBACK = "fact"
-#: Headings a catalogue may hold; a template has at most a dozen sections.
-MOST_KINDS = 200
+#: Known headings that a written one is compared with in one pass.
+KIND_BLOCK = 200
 EXAMPLE_SHARE, EXAMPLE_MIN_WORDS, EXAMPLE_STEM = 0.85, 4, 4
 SENTENCE_OVERHEAD = 8
 DATES = (r"(?i)\b(\d{1,2}[/.-]\d{1,2}(?:[/.-]\d{2,4})?"
@@ -90,20 +92,28 @@ def route_headings(headings: DataFrame, kinds: DataFrame, language: str = "it")
     The headings of the language and the English ones are known. Equal after folding wins;
     else the nearest, unless two kinds are equally near. Only distinct headings are compared.
     """
-    # Two headings for each kind of note: a table fixed by the catalogue, held as a literal.
-    table = kinds.where(F.col("language").isin(language, "en")).orderBy("ord", "language").limit(MOST_KINDS + 1).collect()
-    if len(table) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} headings to choose from")
-    known = F.array(*[F.struct(F.lit(k["name"]).alias("name"), tx.heading_key(F.lit(k["heading"])).alias("key")) for k in table])
+    # A catalogue's headings, ``KIND_BLOCK`` of them at a time as literals.
+    table = kinds.where(F.col("language").isin(language, "en")).orderBy("ord", "language").select("name", "heading").toLocalIterator()
     h = headings.select("heading").distinct().withColumn("key", tx.heading_key(F.col("heading"))).where("key <> ''")
-    h = h.withColumn("known", known)
-    exact = F.get(F.filter("known", lambda k: k["key"] == F.col("key")), 0)["name"]
-    h = h.withColumn("exact", exact).withColumn("near", heading_likeness("key", F.transform("known", lambda k: k["key"])))
-    scored = F.zip_with("known", "near", lambda k, s: F.struct(s.alias("s"), k["name"].alias("name")))
-    h = h.withColumn("top", F.array_max(F.transform(scored, lambda x: x["s"]))).withColumn("scored", scored)
-    best = F.array_distinct(F.transform(F.filter("scored", lambda x: x["s"] == F.col("top")), lambda x: x["name"]))
+    blocks = []
+    while block := list(islice(table, KIND_BLOCK)):
+        known = F.array(*[F.struct(F.lit(k["name"]).alias("name"), tx.heading_key(F.lit(k["heading"])).alias("key")) for k in block])
+        b = h.withColumn("known", known)
+        exact = F.get(F.filter("known", lambda k: k["key"] == F.col("key")), 0)["name"]
+        b = b.withColumn("exact", exact).withColumn("near", heading_likeness("key", F.transform("known", lambda k: k["key"])))
+        scored = F.zip_with("known", "near", lambda k, s: F.struct(s.alias("s"), k["name"].alias("name")))
+        b = b.withColumn("scored", scored).withColumn("top", F.array_max(F.transform("scored", lambda x: x["s"])))
+        names = F.transform(F.filter("scored", lambda x: x["s"] == F.col("top")), lambda x: x["name"])
+        blocks.append(b.select("heading", F.lit(len(blocks)).alias("block"), "exact", "top", names.alias("names")))
+    if not blocks:
+        return h.select("heading", F.lit(None).cast("string").alias("kind"))
+    met = reduce(DataFrame.unionByName, blocks)
+    # One row a block: the first exact name, and the names of the highest likeness over all blocks.
+    met = met.groupBy("heading").agg(F.min_by("exact", F.when(F.col("exact").isNotNull(), F.col("block"))).alias("exact"), F.max("top").alias("top"),
+                                     F.collect_list(F.struct("top", "names")).alias("all"))
+    best = F.array_distinct(F.flatten(F.transform(F.filter("all", lambda x: x["top"] == F.col("top")), lambda x: x["names"])))
     near = F.when((F.col("top") >= SAME_HEADING) & (F.size(best) == 1), F.get(best, 0))
-    return h.select("heading", F.coalesce("exact", near).alias("kind"))
+    return met.select("heading", F.coalesce("exact", near).alias("kind"))
 
 
 def _lines(answers: DataFrame, keep: list[str]) -> DataFrame:

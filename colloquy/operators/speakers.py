@@ -156,22 +156,28 @@ def match_voices(stretches: DataFrame, voices: DataFrame, fixed: bool = False,
         given = best.where("not _strange").select("recording_id", "seg_no", F.col("_best.w").alias("_own"),
                                                   F.col("_best.d").alias("likeness"))
         left = best.where("_strange").select("recording_id", "seg_no", "_u")
-        taken = voices.groupBy("recording_id").agg(F.count("*").alias("_n"))
+        # New labels are the numbers from the count of learned voices on that no voice has.
+        number = F.regexp_extract("speaker", r"^SPEAKER_(\d+)$", 1).try_cast("int")
+        taken = voices.groupBy("recording_id").agg(F.count("*").cast("int").alias("_base"), F.collect_set(number).alias("_used")).withColumn("_n", F.lit(0))
         while not left.isEmpty():
             nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("seg_no"))
             leaders = materialise(left.withColumn("_r", nth).where(F.col("_r") <= LEADERS)
                                   .groupBy("recording_id").applyInPandas(_pick_leaders(same), _leader_schema(left)))
+            nth = F.coalesce("_n", F.lit(0)) + F.col("_lead")
+            used, base = F.coalesce("_used", F.array().cast("array<int>")), F.coalesce("_base", F.lit(0))
+            free = F.filter(F.sequence(base, base + nth + F.size(used)), lambda x: ~F.array_contains(used, x))
+            label = F.get(free, nth).cast("string")
             named = leaders.join(taken, "recording_id", "left").select("recording_id", "_lead", "_c", F.concat(
-                F.lit("SPEAKER_"), F.lpad((F.coalesce("_n", F.lit(0)) + F.col("_lead")).cast("string"), 2, "0")).alias("_who"))
+                F.lit("SPEAKER_"), F.when(F.length(label) < 2, F.lpad(label, 2, "0")).otherwise(label)).alias("_who"))
             met = left.join(named, "recording_id").withColumn("_d", _cosine()).where(F.col("_d") >= same)
             first = materialise(met.groupBy("recording_id", "seg_no").agg(
                 F.min_by(F.struct("_who", "_d"), "_lead").alias("_f")))
             given = given.unionByName(first.select("recording_id", "seg_no", F.col("_f._who").alias("_own"),
                                                    F.col("_f._d").alias("likeness")))
             left = materialise(left.join(first, ["recording_id", "seg_no"], "left_anti"))
-            more = leaders.groupBy("recording_id").agg(F.count("*").alias("_m"))
+            more = leaders.groupBy("recording_id").agg(F.count("*").cast("int").alias("_m"))
             taken = materialise(taken.join(more, "recording_id", "full").select(
-                "recording_id", (F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0))).alias("_n")))
+                "recording_id", "_base", "_used", (F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0))).alias("_n")))
     m = s.select("recording_id", "seg_no").join(given, ["recording_id", "seg_no"], "left")
     m = in_order(m, KEYS, ["seg_no"], last={"speaker": F.col("_own")})
     return m.select("recording_id", "seg_no", "speaker", "likeness")

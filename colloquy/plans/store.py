@@ -38,10 +38,12 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "colloquy")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The cluster's checkpoint folder. A local session that names none gets a temporary one; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -3,9 +3,7 @@
 from pyspark.sql import functions as F
 
 from colloquy import fixtures as fx
-from colloquy.fixtures import sql
 from colloquy.functions import lexicons as lx
-from colloquy.operators import callouts as co
 from colloquy.operators import jobs
 from colloquy.queries.layout_q import _names
 from colloquy.registry import query
@@ -47,29 +45,3 @@ def _(spark, sf):
 @query("job_summarise_headings")
 def _(spark, sf):
     return jobs.summarise_headings(fx.answers(spark, sf), page_writer).select("recording_id", "field", "line_no", "text")
-
-
-def counting_engine():
-    """A recogniser stub: one segment per piece, as long as its samples."""
-    return lambda samples: [(f"{len(samples)} samples", 0, len(samples))]
-
-
-@query("recognise", sql("frames", """
- select recording_id, frame_no//40 as piece_no, 0 as seg_in_piece, count(*)||' samples' as text, frame_no//40*40 as start_ms, frame_no//40*40+count(*) as end_ms
- from frames group by recording_id, frame_no//40"""))
-def _(spark, sf):
-    piece = F.floor(F.col("frame_no") / 40)
-    p = fx.frames(spark, sf).groupBy("recording_id", piece.alias("piece_no")).agg(F.collect_list("sample").alias("samples"))
-    return co.recognise(p.withColumn("piece_start_ms", F.col("piece_no") * 40), counting_engine)
-
-
-def mean_model():
-    """An embedding stub: the length and the sum of a stretch."""
-    return lambda samples: [float(len(samples)), round(float(sum(samples)), 6)]
-
-
-@query("embed", sql("frames", """
- select recording_id, frame_no//40 as piece_no, case when count(*)>=30 then [least(count(*),900)::DOUBLE, round(sum(sample),6)] end as vector from frames group by recording_id, frame_no//40"""))
-def _(spark, sf):
-    p = fx.frames(spark, sf).groupBy("recording_id", F.floor(F.col("frame_no") / 40).alias("piece_no")).agg(F.collect_list("sample").alias("samples"))
-    return co.embed(p, mean_model, rate=30)

@@ -172,14 +172,14 @@ def _(spark, sf):
 
 
 @query("document_title", sql("answers", NOTES_SQL + """,
- t as (select recording_id, note_no, 'Topic '||substr(text,1,8) as title from notes where note_no%4=1),
+ t as (select recording_id, note_no, 'Topic '||substr(text,1,8) as title from notes),
  k as (select *, row_number() over (partition by recording_id order by note_no) as rn from t),
  g as (select recording_id, list(title order by rn) as ts from k where rn<=3 group by recording_id),
  r as (select distinct recording_id from segments)
  select r.recording_id, case when len(ts)>=2 then ts[1]||', '||lower(ts[2])||case when len(ts)>2 then ' and more' else '' end when len(ts)=1 then ts[1]
    when r.recording_id%2=0 then 'Rec '||r.recording_id else 'Summary of the recording' end as title from r left join g using (recording_id)"""))
 def _(spark, sf):
-    t = notes(spark, sf).where("note_no % 4 = 1").select(
+    t = notes(spark, sf).select(
         "recording_id", F.col("note_no").alias("section_no"), F.concat(F.lit("Topic "), F.substring("text", 1, 8)).alias("title"), F.lit("model").alias("named_by"))
     r = fx.segments(spark, sf).select("recording_id").distinct()
     own = r.withColumn("title", F.when(F.col("recording_id") % 2 == 0, F.concat(F.lit("Rec "), "recording_id")).otherwise(""))
@@ -197,10 +197,10 @@ def _(spark, sf):
 
 @query("review_findings")
 def _(spark, sf):
-    """A stub reviewer that quotes two lines of every third section and one that is not there."""
+    """A stub reviewer that quotes two lines of every section and one that is not there."""
     w = _written(spark, sf)
     lines = F.split("body", "\n")
-    said = w.where("section_no % 3 = 1").withColumn("answer", F.concat(
+    said = w.withColumn("answer", F.concat(
         F.lit("INVENTED: "), F.get(lines, 1), F.lit("\nGARBLED - "), F.coalesce(F.get(lines, 2), F.lit("x")), F.lit("\nREPEATED: "),
         F.coalesce(F.get(lines, 3), F.lit("x")), F.lit("\nINVENTED: nothing of the sort was ever written")))
     return se.review_findings(said.select("recording_id", "section_no", "answer"), w)

@@ -138,7 +138,7 @@ def _(spark, sf):
 
 
 @query("summary_page", sql("segments", """
- , p as (select recording_id, '- `['||(start_ms//60000)||':'||lpad(((start_ms//1000)%60)::VARCHAR,2,'0')||']` **'||speaker||'** '||text as b, seg_no from segments where seg_no%9=2),
+ , p as (select recording_id, '- `['||(start_ms//60000)||':'||lpad(((start_ms//1000)%60)::VARCHAR,2,'0')||']` **'||speaker||'** '||text as b, seg_no from segments),
  b as (select recording_id, string_agg(b, chr(10) order by seg_no) as body from p group by all),
  m as (select recording_id, max(end_ms) as d, arg_min(text, seg_no) as a from segments group by all)
  select m.recording_id, case when recording_id%2=0 then '# Riassunto: Rec '||recording_id else '# Summary: Rec '||recording_id end||chr(10)||chr(10)||
@@ -150,7 +150,7 @@ def _(spark, sf):
  from m left join b using (recording_id)"""))
 def _(spark, sf):
     s = fx.segments(spark, sf)
-    pts = s.where("seg_no % 9 = 2").groupBy("recording_id").agg(F.sort_array(F.collect_list(
+    pts = s.groupBy("recording_id").agg(F.sort_array(F.collect_list(
         F.struct("seg_no", "start_ms", "speaker", "text"))).alias("points"))
     m = s.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"), F.min_by("text", "seg_no").alias("abstract"))
     given = m.join(pts, "recording_id", "left").select(
@@ -162,7 +162,7 @@ def _(spark, sf):
 
 
 @query("coverage", sql("segments answers", """
- , b as (select recording_id, start_ms from segments where speaker='assistant' and seg_no%3<>0),
+ , b as (select recording_id, start_ms from segments where speaker='assistant'),
  d as (select recording_id, max(end_ms) as dur from segments group by all),
  s as (select b.recording_id, count(distinct start_ms//60000) as seen from b join d using (recording_id) where start_ms<dur group by all)
  select d.recording_id, round(least(1.0, coalesce(seen,0)/greatest(1, ceil(dur/60000.0))),6) as coverage,
@@ -170,11 +170,11 @@ def _(spark, sf):
 def _(spark, sf):
     s = fx.segments(spark, sf)
     lengths = s.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"))
-    return me.coverage(s.where("speaker = 'assistant' and seg_no % 3 <> 0").select("recording_id", "start_ms"), lengths)
+    return me.coverage(s.where("speaker = 'assistant'").select("recording_id", "start_ms"), lengths)
 
 
 @query("copy_rate", sql("prose", PROSE + f""",
- pts as (select recording_id, text from sents where n%7=0 union all
+ pts as (select recording_id, text from sents union all
    select d.recording_id, b.text from prose d join benchmark b on b.item_id=d.recording_id%40),
  pw as (select recording_id, string_split(trim(regexp_replace({sql_fold('text')},'\\s+',' ','g')),' ') as w from pts),
  ps as (select recording_id, unnest(list_transform(range(1, len(w)-6), lambda i: array_to_string(list_slice(w,i,i+7),' '))) as s from pw where len(w)>=8),
@@ -187,7 +187,7 @@ def _(spark, sf):
     p = fx.prose(spark, sf)
     passages = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("_i"), F.col("text").alias("_t"))
     told = p.select("recording_id", (F.col("recording_id") % 40).alias("_i")).join(passages, "_i").select("recording_id", F.col("_t").alias("text"))
-    points = sentences(spark, sf).where("sent_no % 7 = 0").select("recording_id", "text").unionByName(told)
+    points = sentences(spark, sf).select("recording_id", "text").unionByName(told)
     return me.copy_rate(points, p)
 
 
@@ -252,9 +252,9 @@ def _(spark, sf):
 
 
 @query("reduction_share", sql("prose", PROSE + """
- , k as (select recording_id, sum(floor(length(text)/4.4::DOUBLE))::BIGINT as kept from sents where n%3=0 group by all),
+ , k as (select recording_id, sum(floor(length(text)/4.4::DOUBLE))::BIGINT as kept from sents where length(text)>=80 group by all),
  w as (select recording_id, sum(floor(length(text)/4.4::DOUBLE))::BIGINT as tokens from sents group by all)
  select recording_id, tokens, coalesce(kept,0) as kept_tokens, case when tokens>0 then round_even(100.0*coalesce(kept,0)/tokens,0)::BIGINT end as kept_share from w left join k using (recording_id)"""))
 def _(spark, sf):
     s = sentences(spark, sf)
-    return me.reduction_share(s.where("sent_no % 3 = 0"), s, LANG)
+    return me.reduction_share(s.where(F.length("text") >= 80), s, LANG)
