@@ -5,7 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from colloquy import fixtures as fx
-from colloquy.registry import query
+from colloquy.functions import text as tx
+from colloquy.queries import layout_q  # noqa: F401 - its SQL is used here
+from colloquy.registry import ORACLES, query
 from colloquy.fixtures import sql
 from colloquy.plans.store import materialise, shared_dir
 from colloquy.streaming import live
@@ -60,13 +62,25 @@ def _(spark, sf):
 
 
 @query("live_paragraphs", """with l as (select user_id as recording_id, ts, event_id, event_type, lag(ts) over (partition by user_id order by ts, event_id) as pv from events),
- i as (select *, sum(case when pv is null or ts-pv>=interval 6 hour then 1 else 0 end) over (partition by recording_id order by ts, event_id) as g from l)
+ i as (select *, sum(case when pv is null or ts-pv>interval 6 hour then 1 else 0 end) over (partition by recording_id order by ts, event_id) as g from l)
  select recording_id, count(*) as segments, length(string_agg(event_type,' '))::INT as chars from i group by recording_id, g""")
 def _(spark, sf):
-    out = drained(live.live_paragraphs(streamed(live_rows(spark, sf)), "6 hours"))
+    out = drained(live.live_paragraphs(streamed(live_rows(spark, sf)), 6 * 3_600_000, None))
     return out.where("recording_id >= 0").select("recording_id", "segments", F.length("text").alias("chars"))
 
 
+@query("live_paragraphs_of_segments", f"select recording_id, start_ms, end_ms, text from ({ORACLES['paragraphs']}) p")
+def _(spark, sf):
+    """Segments with lengths, against the SQL of the stored paragraphs."""
+    def at(c):
+        return F.timestamp_millis(F.lit(1_767_225_600_000) + F.col(c))
+    s = fx.segments(spark, sf).select("recording_id", "seg_no", at("start_ms").alias("ts"), at("end_ms").alias("ts_end"), "text")
+    out = drained(live.live_paragraphs(streamed(s))).where("recording_id >= 0")
+    def ms(c):
+        return F.unix_millis(c) - 1_767_225_600_000
+    return out.select("recording_id", ms("started").alias("start_ms"), ms("ended").alias("end_ms"), tx.clean_text(F.col("text")).alias("text"))
+
+
 @query("live_coverage", """select user_id as recording_id, strftime(date_trunc('minute', ts),'%Y-%m-%d %H:%M') as minute, count(*) as segments, count(*) as words from events group by all""")
 def _(spark, sf):
     out = drained(live.live_coverage(streamed(live_rows(spark, sf))))

@@ -11,7 +11,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -40,12 +40,33 @@ def live_segments(pieces: DataFrame) -> DataFrame:
                     (F.col("s.end_ms") + at).alias("end_ms"), words.alias("words"), ts.alias("ts"))
 
 
-def live_paragraphs(segments: DataFrame, gap: str = "1200 milliseconds", watermark: str = WATERMARK) -> DataFrame:
-    """A paragraph per stretch of speech without a pause of ``gap``: emitted once it is over."""
-    w = segments.withWatermark("ts", watermark).groupBy("recording_id", F.session_window("ts", gap).alias("w"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "text"))), lambda x: x["text"]), " ")
-    return w.agg(F.count("*").alias("segments"), text.alias("text")).select(
-        "recording_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "segments", "text")
+def live_paragraphs(segments: DataFrame, gap_ms: int = 1200, max_chars: int | None = 600, watermark: str = WATERMARK) -> DataFrame:
+    """The paragraphs of speech as it comes: until a pause of over ``gap_ms``, or until one is full.
+
+    ``segments(recording_id, ts, ts_end, text)``, with ``seg_no`` where times may tie; without ``ts_end`` (or where it is null) a
+    segment is a point. A session lasts from each segment's end, so that long segments do not end it, and is cut
+    into paragraphs, by the rule of the stored ones, once it is over; until then its segments are kept.
+    """
+    end = F.greatest("ts", "ts_end") if "ts_end" in segments.columns else F.col("ts")
+    order = ["ts", "seg_no"] if "seg_no" in segments.columns else ["ts"]
+    s = segments.withColumn("_end", end).withWatermark("ts", watermark)
+    # A pause of just ``gap_ms`` does not end a paragraph.
+    wait = F.make_interval(secs=((F.unix_micros("_end") - F.unix_micros("ts") + gap_ms * 1000 + 1) / 1e6).cast("decimal(18,6)"))
+    g = s.groupBy("recording_id", F.session_window("ts", wait).alias("w")).agg(
+        F.sort_array(F.collect_list(F.struct(*order, F.col("_end").alias("ended"), F.trim(F.coalesce("text", F.lit(""))).alias("text")))).alias("_s"))
+    kind = "array<struct<started:timestamp,ended:timestamp,segments:bigint,text:string>>"
+
+    def put(done: Column, x: Column) -> Column:
+        last = F.element_at(done, F.size(done))
+        full = F.lit(False) if max_chars is None else F.length(last["text"]) >= max_chars
+        own = F.struct(x["ts"].alias("started"), x["ended"].alias("ended"), F.lit(1).cast("bigint").alias("segments"), x["text"].alias("text"))
+        more = F.struct(last["started"].alias("started"), F.greatest(last["ended"], x["ended"]).alias("ended"), (last["segments"] + 1).alias("segments"),
+                        F.concat(last["text"], F.lit(" "), x["text"]).alias("text"))
+        return F.when(F.size(done) == 0, F.array(own)).when(full, F.concat(done, F.array(own))).otherwise(
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more)))
+
+    paragraphs = F.aggregate(F.filter("_s", lambda x: x["text"] != ""), F.array().cast(kind), put)
+    return g.select("recording_id", F.explode(paragraphs).alias("p")).select("recording_id", "p.started", "p.ended", "p.segments", "p.text")
 
 
 def live_coverage(segments: DataFrame, watermark: str = WATERMARK) -> DataFrame:
