@@ -117,7 +117,7 @@ def _(spark, sf):
  o as (select s.recording_id, s.seg_no, t.speaker, row_number() over (partition by s.recording_id, s.seg_no
         order by least(s.end_ms,t.turn_end_ms)-greatest(s.start_ms,t.turn_start_ms) desc, t.turn) as rn
    from segments s join turns t on s.recording_id=t.recording_id and s.start_ms<t.turn_end_ms and s.end_ms>t.turn_start_ms)
- select recording_id, seg_no, speaker from o where rn=1"""))
+ select s.recording_id, s.seg_no, o.speaker from segments s left join o on o.recording_id=s.recording_id and o.seg_no=s.seg_no and rn=1"""))
 def _(spark, sf):
     def at(c):
         return F.timestamp_micros(F.lit(1_767_225_600_000_000) + F.col(c) * 1000)

@@ -111,19 +111,21 @@ def live_dedup(segments: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return segments.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["recording_id", "seg_no"])
 
 
-def live_assign_speakers(segments: DataFrame, turns: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """The turn each segment overlaps most, with both still arriving.
+def live_assign_speakers(segments: DataFrame, turns: DataFrame, watermark: str = WATERMARK, reach: str = "1 hour") -> DataFrame:
+    """The turn each segment overlaps most, with both still arriving; null where none is.
 
     ``segments(recording_id, seg_no, ts, ts_end)``, ``turns(recording_id, turn, turn_ts,
-    turn_ts_end, speaker)``. Turns are at most an hour long, which bounds what is remembered.
+    turn_ts_end, speaker)``. A turn is remembered for segments that start up to ``reach`` from its start, so
+    ``reach`` has to be as long as the longest turn: it is what bounds the state. A segment is
+    given when the watermark has passed all turns it could meet.
     """
     s = segments.select("recording_id", "seg_no", "ts", "ts_end").withWatermark("ts", watermark)
     t = turns.select(F.col("recording_id").alias("_r"), "turn", "turn_ts", "turn_ts_end", "speaker").withWatermark("turn_ts", watermark)
-    near = F.expr("turn_ts < ts_end AND turn_ts_end > ts AND turn_ts >= ts - INTERVAL 1 HOUR AND turn_ts <= ts + INTERVAL 1 HOUR")
-    met = s.join(t, (F.col("recording_id") == F.col("_r")) & near)
+    near = F.expr(f"turn_ts < ts_end AND turn_ts_end > ts AND turn_ts >= ts - INTERVAL {reach} AND turn_ts <= ts + INTERVAL {reach}")
+    met = s.join(t, (F.col("recording_id") == F.col("_r")) & near, "left")
     overlap = F.unix_micros(F.least("ts_end", "turn_ts_end")) - F.unix_micros(F.greatest("ts", "turn_ts"))
     return met.groupBy(F.window("ts", "1 second"), "recording_id", "seg_no").agg(
-        F.max_by("speaker", F.struct(overlap, -F.col("turn"))).alias("speaker")).drop("window")
+        F.max_by("speaker", F.struct(F.coalesce(overlap, F.lit(0)), -F.col("turn"))).alias("speaker")).drop("window")
 
 
 class _Voices(StatefulProcessor):
