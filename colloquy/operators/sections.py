@@ -47,80 +47,56 @@ def dedupe_notes(notes: DataFrame, weighted: DataFrame, same: float = SAME_NOTE)
     return g.select("recording_id", *[F.col("_lead").alias("note_no") if c == "note_no" else F.col("b")[c].alias(c) for c in cols], "ts_start_ms")
 
 
-def _merges(alike: np.ndarray):
-    """Average-linkage merges of a likeness table, closest first: ``(first, second, likeness)``."""
-    n = len(alike)
-    s = alike.copy()
-    s[np.tril_indices(n)] = -1.0                        # only pairs in order
-    size, best, at = np.ones(n), s.max(axis=1), s.argmax(axis=1)
-    for _ in range(n - 1):
-        a = int(best.argmax())
-        if best[a] < 0:
-            return
-        b = int(s[a].argmax())
-        yield a, b, float(best[a])
-        # What others are like either half is averaged by the halves' sizes.
-        one, two = np.maximum(s[a], s[:, a]), np.maximum(s[b], s[:, b])
-        mixed = np.where((one >= 0) & (two >= 0), (size[a] * one + size[b] * two) / (size[a] + size[b]), -1.0)
-        mixed[[a, b]] = -1.0
-        size[a] += size[b]
-        s[b, :], s[:, b] = -1.0, -1.0
-        s[a, a + 1:], s[:a, a] = mixed[a + 1:], mixed[:a]
-        stale = np.flatnonzero((at == a) | (at == b))
-        stale = np.union1d(stale, [a, b])
-        best[stale], at[stale] = s[stale].max(axis=1), s[stale].argmax(axis=1)
-        nearer = np.flatnonzero(s[:a, a] > best[:a])
-        best[nearer], at[nearer] = s[nearer, a], a
-
-
-def _cut(merges: list, n: int, apart: float) -> list[list[int]]:
-    groups: dict[int, list[int]] = {i: [i] for i in range(n)}
-    for a, b, likeness in merges:
-        if likeness < 1.0 - apart:
-            break
-        groups[a] = groups[a] + groups.pop(b)
-    return [groups[k] for k in sorted(groups)]
+def _distances(apart: float | None) -> list[float]:
+    return [apart] if apart is not None else [round(TIGHTEST + STEP * i, 2) for i in range(STEPS)]
+
 
+def _labels(vectors: np.ndarray, least: list[float]) -> np.ndarray:
+    """Each note's cluster, named by its first note, at each of the ``least`` likenesses.
 
-def _discover_one(apart: float | None, most: int):
-    def discover(pdf: pd.DataFrame) -> pd.DataFrame:
+    Clusters that are each other's nearest merge, all at once, until none is near enough. Of equally near ones the first
+    counts; likenesses are equal to nine digits.
+    """
+    sums, size, open_ = vectors.copy(), np.ones(len(vectors)), np.arange(len(vectors))
+    label = np.tile(open_, (len(least), 1))
+    while len(open_) > 1:
+        like = np.round(sums[open_] @ sums[open_].T / np.outer(size[open_], size[open_]), 9)
+        np.fill_diagonal(like, -1.0)
+        near = like.argmax(axis=1)
+        top = like[np.arange(len(open_)), near]
+        first = np.flatnonzero((near[near] == np.arange(len(open_))) & (np.arange(len(open_)) < near) & (top >= min(least)) & (top > 0))
+        if not len(first):
+            break
+        for i in first:
+            keep, gone = open_[i], open_[near[i]]
+            sums[keep] += sums[gone]
+            size[keep] += size[gone]
+            for t in np.flatnonzero(top[i] >= np.array(least)):
+                label[t][label[t] == gone] = keep
+        open_ = np.delete(open_, near[first])
+    return label
+
+
+def _labels_in_task(least: list[float]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(pdf["note_no"].unique())
-        n, said = len(ids), pdf[pdf["term"].notna()]
+        said = pdf[pdf["term"].notna()]
         code, names = pd.factorize(said["term"])
-        m = np.zeros((n, max(1, len(names))))
+        m = np.zeros((len(ids), max(1, len(names))))
         m[np.searchsorted(ids, said["note_no"].to_numpy()), code] = said["w"].to_numpy()
-        alike = np.clip(m @ m.T, 0.0, 1.0)
-        merges = list(_merges(alike))
-        groups = [[i] for i in range(n)]
-        for at in ([apart] if apart is not None else [round(TIGHTEST + STEP * i, 2) for i in range(STEPS)]):
-            groups = _cut(merges, n, at)
-            sections = [g for g in groups if len(g) >= MIN_NOTES]
-            alone = n - sum(map(len, sections))
-            if apart is None and n < 2 or sections and len(sections) <= most and alone <= STRAY_SHARE * n:
-                break
-        settled = [g for g in groups if len(g) >= MIN_NOTES]
-        names_ = [min(g) for g in settled]
-        label = np.full(n, -1)
-        for g in (g for g in groups if len(g) < MIN_NOTES and settled):
-            near = [float(alike[g[0], s].mean()) for s in settled]
-            if max(near) >= 1.0 - ORPHANED:
-                settled[int(np.argmax(near))].append(g[0])
-        for name, g in zip(names_, settled, strict=True):
-            label[g] = ids[name]
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "note_no": ids, "section": label})
-    return discover
-
-
-def _discover_many(notes: DataFrame, weighted: DataFrame, apart: float | None, most: int) -> DataFrame:
-    """The same grouping as joins and sums, for recordings too big for a task.
-
-    Clusters that are each other's nearest merge, all at once, round by round: average
-    linkage reaches the same tree that way. A cluster is the sum of its notes' vectors, so
-    only clusters sharing a word ever meet. Each note keeps its label at every distance
-    tried; strays are compared with the sections as found.
+        found = _labels(m, least)
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "note_no": np.tile(ids, len(least)),
+                             "section": ids[found.ravel()], "t": np.repeat(np.arange(len(least)), len(ids))})
+    return run
+
+
+def _labels_as_joins(notes: DataFrame, weighted: DataFrame, distances: list[float]) -> DataFrame:
+    """The same merges as joins and sums, for recordings too big for a task.
+
+    A cluster is the sum of its notes' vectors, so only clusters sharing a word ever meet. Each note keeps
+    its label at every distance tried.
     """
     key = ["recording_id"]
-    distances = [apart] if apart is not None else [round(TIGHTEST + STEP * i, 2) for i in range(STEPS)]
     words = materialise(weighted.select(*key, F.col("note_no").alias("c"), "term", F.col("w").alias("s")))
     size = materialise(notes.select(*key, F.col("note_no").alias("c"), F.lit(1).cast("long").alias("n")))
     at = F.posexplode(F.array(*[F.lit(1.0 - d) for d in distances])).alias("t", "least")
@@ -130,8 +106,8 @@ def _discover_many(notes: DataFrame, weighted: DataFrame, apart: float | None, m
         one = found.join(size, [*key, "c"])
         two = one.select(*key, "term", F.col("c").alias("d"), F.col("s").alias("s2"), F.col("n").alias("n2"))
         like = (one.join(two, [*key, "term"]).where("c < d").groupBy(*key, "c", "d")
-                .agg((F.sum(F.col("s") * F.col("s2")) / F.max(F.col("n") * F.col("n2"))).alias("like"))
-                .where(F.col("like") >= 1.0 - distances[-1]))
+                .agg(F.round(F.sum(F.col("s") * F.col("s2")) / F.max(F.col("n") * F.col("n2")), 9).alias("like"))
+                .where((F.col("like") >= 1.0 - distances[-1]) & (F.col("like") > 0)))
         like = materialise(like)
         ends = like.select(*key, F.col("c").alias("me"), F.col("d").alias("it"), "like").unionByName(
             like.select(*key, F.col("d").alias("me"), F.col("c").alias("it"), "like"))
@@ -149,17 +125,27 @@ def _discover_many(notes: DataFrame, weighted: DataFrame, apart: float | None, m
         named = merges.select(*key, F.col("gone").alias("section"), "keep", "like")
         label = materialise(label.join(named, [*key, "section"], "left").withColumn(
             "section", F.when(F.col("like") >= F.col("least"), F.col("keep")).otherwise(F.col("section"))).drop("keep", "like"))
+    return label.select(*key, "note_no", "section", "t")
+
+
+def _settle(label: DataFrame, weighted: DataFrame, most: int) -> DataFrame:
+    """Of the distances tried the first that gives few enough sections and strays (else the last), and strays adopted.
+
+    Every stray is compared with the sections as found, whatever else was adopted.
+    """
+    key = ["recording_id"]
+    words = weighted.select(*key, "note_no", "term", F.col("w").alias("s"))
     groups = label.groupBy(*key, "t", "section").agg(F.count("*").alias("n"))
     shape = groups.groupBy(*key, "t").agg(F.count_if(F.col("n") >= MIN_NOTES).alias("k"), F.sum(F.when(F.col("n") < MIN_NOTES, 1).otherwise(0)).alias("alone"), F.sum("n").alias("all"))
     good = (F.col("k") > 0) & (F.col("k") <= most) & (F.col("alone") <= STRAY_SHARE * F.col("all"))
     chosen = shape.groupBy(*key).agg(F.coalesce(F.min(F.when(good, F.col("t"))), F.max("t")).alias("t"))
     mine = materialise(label.join(chosen, [*key, "t"]).join(groups, [*key, "t", "section"]).select(*key, "note_no", "section", "n"))
     settled = mine.where(F.col("n") >= MIN_NOTES)
-    sums = (words.withColumnRenamed("c", "note_no").join(settled, [*key, "note_no"]).groupBy(*key, "section", "term")
+    sums = (words.join(settled, [*key, "note_no"]).groupBy(*key, "section", "term")
             .agg((F.sum("s") / F.max("n")).alias("m")))
     stray = mine.where(F.col("n") < MIN_NOTES).select(*key, "note_no")
-    near = (words.withColumnRenamed("c", "note_no").join(stray, [*key, "note_no"]).join(sums, [*key, "term"])
-            .groupBy(*key, "note_no", "section").agg(F.sum(F.col("s") * F.col("m")).alias("like")))
+    near = (words.join(stray, [*key, "note_no"]).join(sums, [*key, "term"])
+            .groupBy(*key, "note_no", "section").agg(F.round(F.sum(F.col("s") * F.col("m")), 9).alias("like")))
     home = near.where(F.col("like") >= 1.0 - ORPHANED).groupBy(*key, "note_no").agg(F.max_by("section", F.struct("like", -F.col("section"))).alias("section"))
     lone = stray.join(home, [*key, "note_no"], "left").withColumn("section", F.coalesce("section", F.lit(-1)))
     return settled.select(*key, "note_no", "section").unionByName(lone.select(*key, "note_no", "section"))
@@ -173,16 +159,18 @@ def discover_sections(notes: DataFrame, weighted: DataFrame, apart: float | None
                       task_notes: int = TASK_NOTES) -> DataFrame:
     """The section each note falls in by likeness: ``recording_id, note_no, section``, -1 for none.
 
-    A section is named by its first note. Recordings of up to ``task_notes`` notes are grouped
-    inside a task each, larger ones by joins over the cluster.
+    A section is named by its first note. Recordings of up to ``task_notes`` notes are merged
+    inside a task each, larger ones by joins over the cluster; the result is the same.
     """
-    out = T.StructType([notes.schema["recording_id"], T.StructField("note_no", T.LongType()), T.StructField("section", T.LongType())])
+    distances = _distances(apart)
+    out = T.StructType([notes.schema["recording_id"], *(T.StructField(c, T.LongType()) for c in ("note_no", "section", "t"))])
     big = materialise(notes.groupBy("recording_id").agg(F.count("*").alias("_n")).where(F.col("_n") > task_notes).select("recording_id"))
     rows = notes.select(*NOTE).join(weighted.select(*NOTE, "term", "w"), NOTE, "left")
-    if big.isEmpty():
-        return rows.groupBy("recording_id").applyInPandas(_discover_one(apart, most), out)
-    small = rows.join(big, "recording_id", "left_anti").groupBy("recording_id").applyInPandas(_discover_one(apart, most), out)
-    return small.unionByName(_discover_many(notes.join(big, "recording_id", "left_semi"), weighted.join(big, "recording_id", "left_semi"), apart, most))
+    label = (rows.join(big, "recording_id", "left_anti").groupBy("recording_id")
+             .applyInPandas(_labels_in_task([1.0 - d for d in distances]), out))
+    if not big.isEmpty():
+        label = label.unionByName(_labels_as_joins(notes.join(big, "recording_id", "left_semi"), weighted.join(big, "recording_id", "left_semi"), distances))
+    return _settle(materialise(label), weighted, most)
 
 
 def section_keywords(placed: DataFrame, language: Column | str | None = None, k: int = 3) -> DataFrame:
