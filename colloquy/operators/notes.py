@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,27 +205,31 @@ def enrich_notes(notes: DataFrame) -> DataFrame:
 # --- passes ------------------------------------------------------------------
 
 def _chunk_fold(budget: int, carry: float):
-    """State: the open chunk's key, relative to the block, then the cost of each of its sentences."""
+    """State: the open chunk's key, relative to the block, then the cost of each of its sentences.
+
+    Costs are summed once; where a chunk ends, and from where it is carried on, are searches in the sums.
+    """
     def fold(pdf: pd.DataFrame, state: list[float]):
-        first = int(pdf["sent_no"].iloc[0])
-        key, costs, rows = int(state[0]) + first, [int(c) for c in state[1:]], []
-        used = sum(costs)
-        for n, cost in zip(pdf["sent_no"], pdf["_cost"], strict=True):
-            if costs and used + cost > budget:
-                kept, size = [], 0
-                for c in reversed(costs[1:]):
-                    if carry <= 0 or size + c > carry:
-                        break
-                    kept.insert(0, c)
-                    size += c
-                key, costs, used = int(n), kept, size
-                rows += [(int(n) - len(kept) + i, key, True) for i in range(len(kept))]
-            costs.append(int(cost))
-            used += int(cost)
-            rows.append((int(n), key, False))
-        end = int(pdf["sent_no"].iloc[-1]) + 1
-        out = pd.DataFrame(rows, columns=["sent_no", "chunk_start", "carried"])
-        return out.assign(recording_id=pdf["recording_id"].iloc[0]), [float(key - end), *map(float, costs)]
+        nos, held = pdf["sent_no"].to_numpy(), len(state) - 1
+        costs = np.concatenate([np.array(state[1:], float), pdf["_cost"].to_numpy(float)])
+        upto = np.append(0.0, np.cumsum(costs))
+        first = int(nos[0])
+        low, new, key = 0, held, int(state[0]) + first
+        must, parts = held if held else 1, []
+        while True:
+            high = max(must, int(np.searchsorted(upto, upto[low] + budget, side="right")) - 1)
+            parts.append((first - held + new, first - held + high, key, False))
+            if high >= len(costs):
+                break
+            # Of the end of the chunk, but never all of it, what the overlap has room for.
+            back = max(low + 1, int(np.searchsorted(upto, upto[high] - carry, side="left"))) if carry > 0 else high
+            key = int(nos[high - held])
+            parts.append((first - held + back, first - held + high, key, True))
+            low, new, must = back, high, high + 1
+        out = pd.DataFrame({"sent_no": np.concatenate([np.arange(a, b) for a, b, *_ in parts]),
+                            "chunk_start": np.repeat([k for *_, k, _ in parts], [b - a for a, b, *_ in parts]),
+                            "carried": np.repeat([c for *_, c in parts], [b - a for a, b, *_ in parts])})
+        return out.assign(recording_id=pdf["recording_id"].iloc[0]), [float(key - int(nos[-1]) - 1), *costs[low:].tolist()]
     return fold
 
 
