@@ -6,6 +6,8 @@ hundred rows at most whatever the corpus size, so joining it by broadcast is saf
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,9 +160,10 @@ PROBLEM_GROUPS = {
     "layout": ["too_wide", "too_many_lines", "empty"],
 }
 
-# --- fixed values: accents with one plain Latin letter ------------------------
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+# --- accents over one plain Latin letter: all lower-case letters that decompose into one --------------------
+_FOLDED = {c: plain[0] for c in map(chr, range(0xC0, 0x250))
+           if c.islower() and len(plain := unicodedata.normalize("NFD", c)) > 1 and "a" <= plain[0] <= "z"}
+ACCENTED, PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 # --- fixed values: characters per model token ---------------------------------
 CHARS_PER_TOKEN = {"it": 2.8, "en": 4.4}

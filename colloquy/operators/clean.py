@@ -46,8 +46,7 @@ def drop_invented_segments(segments: DataFrame, phrases: DataFrame, fillers: boo
     if not fillers:
         return spoken
     keyed = spoken.withColumn("key", tx.text_key(F.col("text")))
-    # The phrase catalogue is a fixed list of a few dozen rows.
-    return keyed.join(F.broadcast(phrases.select("key").distinct()), "key", "left_anti").drop("key")
+    return keyed.join(phrases.select("key").distinct(), "key", "left_anti").drop("key")
 
 
 def with_words(segments: DataFrame) -> DataFrame:

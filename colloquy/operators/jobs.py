@@ -71,15 +71,15 @@ def summarise_sections(answers: DataFrame, kinds: DataFrame, language: str = "it
         "recording_id", "part", "section", "piece", "kind", "note_no", "type", "text", "ts_start_ms", "entities", "dates", "numbers")
 
 
-def summarise_headings(answers: DataFrame, open_client: LineSource, language: str = "it", fanin: int = 6, max_depth: int = 3) -> DataFrame:
+def summarise_headings(answers: DataFrame, open_client: LineSource, language: str = "it", fanin: int = 6, max_depth: int = 3, max_fanin: int = 12) -> DataFrame:
     """One page per recording by folding pass answers level by level: the page's rows by field.
 
-    A fold joins at most its fan-in of answers, so no prompt grows with the recording.
+    A fold joins at most ``max_fanin`` answers, so no prompt grows with the recording: a long one has more levels instead.
     """
     from colloquy.plans.ordered import in_order
     part = in_order(answers.select("recording_id", "chunk_idx", "answer"), ["recording_id"], ["chunk_idx"], sums={"idx": F.lit(1)})
     part = materialise(part.select("recording_id", (F.col("idx") - 1).alias("idx"), "answer"))
-    tree = materialise(no.fold_tree(part.select("recording_id", "idx"), fanin, max_depth))
+    tree = materialise(no.fold_tree(part.select("recording_id", "idx"), fanin, max_depth, max_fanin))
     deepest = tree.agg(F.max("level")).first()[0] or 0
     finished = None
     for level in range(1, deepest + 1):
