@@ -161,21 +161,29 @@ def throughput(entries: DataFrame, by: list[str] | None = None) -> DataFrame:
 def upsert_metadata(entries: DataFrame, patches: DataFrame) -> DataFrame:
     """Entries with a patch merged in: nested records field by field, all else replaced where given.
 
-    Both share a schema keyed by ``entry_id``; an entry only the patch has is added.
+    Both share a schema keyed by ``entry_id``; an entry only the patch has is added. Where a patch names fields in
+    ``given array<string>`` (nested ones as ``record.field``), what it says of them replaces the entry's, a null too.
     """
     e, p = entries.alias("e"), patches.alias("p")
     j = e.join(p, F.col("e.entry_id") == F.col("p.entry_id"), "full")
     cols = [F.coalesce(F.col("p.entry_id"), F.col("e.entry_id")).alias("entry_id")]
+
+    def newer(name):
+        either = F.coalesce(F.col(f"p.{name}"), F.col(f"e.{name}"))
+        if "given" not in patches.columns:
+            return either
+        return F.when(F.coalesce(F.array_contains("p.given", name), F.lit(False)), F.col(f"p.{name}")).otherwise(either)
+
     for f in entries.schema:
         if f.name == "entry_id":
             continue
         if f.name not in patches.columns:
             cols.append(F.col(f"e.{f.name}"))
         elif f.dataType.typeName() == "struct":
-            both = F.struct(*[F.coalesce(F.col(f"p.{f.name}.{x}"), F.col(f"e.{f.name}.{x}")).alias(x) for x in f.dataType.names])
+            both = F.struct(*[newer(f"{f.name}.{x}").alias(x) for x in f.dataType.names])
             cols.append(F.when(F.col(f"p.{f.name}").isNull() & F.col(f"e.{f.name}").isNull(), None).otherwise(both).alias(f.name))
         else:
-            cols.append(F.coalesce(F.col(f"p.{f.name}"), F.col(f"e.{f.name}")).alias(f.name))
+            cols.append(newer(f.name).alias(f.name))
     return j.select(*cols)
 
 
