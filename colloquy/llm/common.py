@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialise(small)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(node, root)``: the smallest node that links ``a[i], b[i]`` reach, for each node of them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            return nodes, nodes[label]
+        label = low

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import components
+from colloquy.llm.common import components, roots
 from colloquy.llm.permutation import normal
 from colloquy.llm.vectors import shards_for, sound, valid
 from colloquy.plans.store import materialise
@@ -195,20 +195,6 @@ def audited(graph: Graph, units: np.ndarray, queries: np.ndarray, least: float)
     return within(graph, units, queries, least, beam)
 
 
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(node, root)``: the smallest node that links ``a[i], b[i]`` reach, for each node of them."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, label = at[:len(a)], at[len(a):], np.arange(len(nodes))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, x, label[y])
-        np.minimum.at(low, y, label[x])
-        low = low[low]
-        if (low == label).all():
-            return nodes, nodes[label]
-        label = low
-
-
 def _matrix(part: pa.Table) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in part.column("v").chunks]).reshape(part.num_rows, -1)
 

@@ -7,7 +7,7 @@ similarity, and pairs that may reach the threshold are confirmed on their whole
 Equal sets are one class from the start, values that only one class retains are left out, and each class is
 listed only under its rarest values (so many that two classes above the threshold must meet). Lists
 are never turned into pairs: classes first meet their list's smallest member; lists that
-this joins up are done, and in the others only classes of different groups are compared.
+this joins up are done, and the others are compared as matrices inside tasks, which give forests of links.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import components, maybe_broadcast
+from colloquy.llm.common import components, maybe_broadcast, roots
 from colloquy.plans.store import materialise
 
 #: Words of a shingle, and values a sketch retains.
 WORDS, RETAINED = 5, 64
 #: An estimate may fall this far below the threshold by chance (below 1e-8 for a pair at the threshold).
 MARGIN = 35
-#: Longer lists are compared in blocks of so many classes.
+#: Larger families are compared in blocks of so many classes.
 BLOCK = 1024
 #: Words whose hashes a worker remembers.
 MEMORY = 1_000_000
@@ -131,41 +131,57 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     return listed.join(one.select("value", "m"), "value")
 
 
-def _cross(lists: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of one list and different groups whose sketches overlap enough; with ``best`` each class names only
-    its closest class of every other group. A list of any length is compared block by block."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = (lists.select("value", "id", "n", "m", "grp").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "n", "grp"))
-    dealt = dealt.join(classes.select("id", "sketch"), "id")
+def _families(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(id, n, fam)`` of the classes that may still be linked: families are joined by common lists, and those are
+    left out that are one group by now or have two members, which have met."""
+    grouped = lists.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("grp", F.coalesce("component", "id"))
+    still = grouped.groupBy("value").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("id").alias("lead")).where("lo != hi").select("value", "lead")
+    met = materialise(grouped.join(still, "value").select("id", "n", "grp", "lead").distinct())
+    fams = components(met.select(F.col("lead").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("fam"))
+    members = materialise(met.select("id", "n").distinct().join(fams, "id"))
+    return members.join(members.groupBy("fam").agg(F.count("*").alias("m")), "fam").where("m > 2")
+
+
+def _compare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside families, ``(a, b)``: whole sets are compared all at once, and what a task finds linked is given as a forest.
+
+    A family of up to ``BLOCK`` is one task's; of larger ones, classes of like sizes meet block by block.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")     # links reach the next step at most
+    rows = members.withColumn("step", F.when(F.col("m") > BLOCK, step).otherwise(0))
+    cells = rows.groupBy("fam", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    near = lambda by, name: cells.select("fam", (F.col("step") + by).alias("step"), F.col("blocks").alias(name))
+    rows = rows.join(near(0, "own"), ["fam", "step"]).join(near(-1, "up"), ["fam", "step"], "left").join(near(1, "down"), ["fam", "step"], "left")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+    def to(count, make):
+        return F.when(F.coalesce(F.col(count), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)).otherwise(F.array().cast("array<struct<s:int,i:int,t:int,j:int>>"))
+    cell = lambda s, i, t, j: F.struct(s.alias("s"), i.alias("i"), t.alias("t"), j.alias("j"))
+    s, i = F.col("step"), F.col("mine")
+    keys = F.concat(to("own", lambda j: cell(s, F.least(i, j), s, F.greatest(i, j))), to("up", lambda j: cell(s, i, s + 1, j)), to("down", lambda j: cell(s - 1, j, s, i)))
+    dealt = rows.withColumn("c", F.explode(keys)).select("fam", "c.s", "c.i", "c.t", "c.j", "id", "n").join(sets, "id")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, n, grp, mine = (group.column(c).to_numpy() for c in ("id", "n", "grp", "mine"))
-        values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in group.column("sketch").chunks])
-        sizes = np.minimum(n, RETAINED)
-        member = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, member = values[order], member[order]
-        cuts = np.flatnonzero(np.diff(values)) + 1
-        hits = np.zeros((len(ids), len(ids)), np.uint8)
-        for run_ in np.split(member, cuts):
-            if len(run_) > 1:
-                hits[np.ix_(run_, run_)] += 1
-        low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
-        least = np.minimum.outer(*[np.where(n <= RETAINED, np.maximum(-(-n * percent // 100) - 3, 1), RETAINED * (percent - MARGIN) // 100)] * 2)
-        fits = (low * 100 >= high * percent) & (hits >= least) & (grp[:, None] != grp[None, :])
-        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-            fits &= mine[:, None] != mine[None, :]
-        a, b = np.nonzero(fits)
-        if best and len(a):
-            order = np.lexsort((ids[b], -hits[a, b].astype(int), grp[b], a))
-            a, b = a[order], b[order]
-            first = np.r_[True, (a[1:] != a[:-1]) | (grp[b][1:] != grp[b][:-1])]
-            a, b = a[first], b[first]
-        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
-
-    return dealt.groupBy("value", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        ids, n = group.column("id").to_numpy(), group.column("n").to_numpy()
+        member = np.repeat(np.arange(len(ids)), n)
+        values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in group.column("items").chunks])
+        _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        member, column = member[shared], np.unique(column[shared], return_inverse=True)[1]
+        common = np.zeros((len(ids), len(ids)), np.float32)     # exact up to 2**24 shingles
+        order = np.argsort(column, kind="stable")
+        member, column = member[order], column[order]
+        for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
+            at = slice(*np.searchsorted(column, [lo, lo + 4096]))
+            part = np.zeros((len(ids), 4096), np.float32)
+            part[member[at], column[at] - lo] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+        linked = (common * 100 >= (n[:, None] + n[None, :] - common) * percent)
+        a, b = np.nonzero(np.triu(linked, 1))
+        node, root = roots(ids[a], ids[b])
+        return pa.table({"a": node, "b": root})
+
+    return dealt.groupBy("fam", "s", "i", "t", "j").applyInArrow(run, "a long, b long").where("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, text_key: bool = False) -> DataFrame:
@@ -189,15 +205,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     first = lists.join(lead, "value").where("id != a").select("a", F.col("id").alias("b")).distinct()
     links = materialise(_confirm(first, classes, sets, percent))
     groups = materialise(components(links))
-    for best in (True, False):
-        grouped = lists.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("grp", F.coalesce("component", "id"))
-        still = grouped.groupBy("value").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("value")
-        grouped = materialise(grouped.join(still, "value", "left_semi"))
-        if grouped.isEmpty():
-            break
-        more = materialise(_confirm(_cross(grouped, classes, percent, best), classes, sets, percent))
-        links = links.unionByName(more)
-        groups = materialise(components(links))
+    more = materialise(_compare(materialise(_families(lists, groups)), sets, percent))
+    if not more.isEmpty():
+        groups = materialise(components(links.unionByName(more)))
     members = classes.select("set_key", "id", "rep").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = members.join(least, "component").select("set_key", "component_id")
