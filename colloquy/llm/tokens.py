@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,11 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
-#: Entries of a worker's memory of cuts; it is emptied when full.
-MEMORY = 400_000
+#: Entries of a generation of a worker's memory; when it is full, it replaces the one before.
+MEMORY = 300_000
 #: Longer cuts are not remembered.
 LONGEST = 48
 _GAP, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
@@ -63,19 +64,22 @@ def load(path: str) -> Tokenizer:
     return made
 
 
-class _Cuts(dict):
-    """Ids of a cut (without its leading blank) as little-endian bytes."""
+class _Memory(dict):
+    """Ids by string, as little-endian bytes. What is still used moves on to the next generation."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.make, self.before = make, {}
 
-    def __missing__(self, cut: str) -> bytes:
-        ids = self.encode(" " + cut)
-        if len(cut) <= LONGEST:
+    def __missing__(self, string: str) -> bytes:
+        ids = self.before.get(string)
+        if ids is None:
+            ids = self.make(string)
+        if len(string) <= LONGEST:
             if len(self) >= MEMORY:
+                self.before = dict(self)
                 self.clear()
-            self[cut] = ids
+            self[string] = ids
         return ids
 
 
@@ -91,26 +95,24 @@ class Encoder:
         self.model, self.chars = self.tokenizer.model, byte_chars()
         self.table = {chr(b): c for b, c in enumerate(self.chars) if b < 128}
         self.ascii = str.maketrans(self.table)
-        self.pieces: dict[str, bytes] = {}
-        self.cuts = _Cuts(self._cut)
+        self.pieces, self.cuts = _Memory(self._piece), _Memory(self._cut)
+        self.code = "H" if self.width == "<u2" else "I"
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         shown = piece.translate(self.ascii) if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
-        ids = np.array([token.id for token in self.model.tokenize(shown)], dtype=self.width).tobytes()
-        if len(piece) <= LONGEST:
-            if len(self.pieces) >= MEMORY:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return array(self.code, [token.id for token in self.model.tokenize(shown)]).tobytes()
 
     def _cut(self, cut: str) -> bytes:
+        """Ids of a cut, which is given without its leading blank."""
         if len(cut) > LONGEST:
-            return self._whole(cut)
-        known = self.pieces.get
-        return b"".join([known(p) or self._piece(p) for p in self.PIECES.findall(cut)])
+            return self._whole(" " + cut)
+        word = cut.rstrip(".,;:!?")
+        if word.isalpha():      # letters are one piece, and so is what follows them
+            return self.pieces[" " + word] + (self.pieces[cut[len(word):]] if len(word) < len(cut) else b"")
+        return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(" " + cut)))
 
     def __call__(self, text: str) -> bytes:
         """Ids as bytes of type ``width``."""
@@ -189,7 +191,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
 
     schema = StructType([f for f in source.schema.fields if f.name != "text__"])
     for name in made:
-        schema = schema.add(name, "array<int>")
+        schema = schema.add(name, ArrayType(IntegerType()))
     return source.mapInArrow(run, schema)
 
 
