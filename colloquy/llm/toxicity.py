@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                                           pa.array([made.vectors.ravel().tolist()], pa.list_(pa.float64()))], names=["bias", "buckets", "weights", "vectors"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
-    rows = texts.mapInArrow(hashed, "doc_id long, terms array<int>, y double").coalesce(1).mapInArrow(learn, "bias double, buckets array<int>, weights array<double>, vectors array<double>")
+    rows = texts.mapInArrow(hashed, "doc_id long, terms array<int>, y double").repartition(1).mapInArrow(learn, "bias double, buckets array<int>, weights array<double>, vectors array<double>")
     found = rows.first()
     if found is None:
         return fit([], np.zeros(0))
