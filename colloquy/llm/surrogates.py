@@ -23,7 +23,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: run twice, so that very long texts cost no more a character than short ones, and begin with a look at the
 #: first character, which spares most words the rest.
 PATTERNS = {
-    "secret": r"""(?=[AaPpSsTt])(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"']{6,512}""",
+    "secret": r"""(?=[AaPpSsTt])(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"']{6,}+""",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,127}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "cloudkey": r"(?=A)(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?=[A-Z]{2}\d{2})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -131,10 +131,11 @@ def surrogates(entries: DataFrame, key: str) -> DataFrame:
     The keyed stream of numbers (0 to 65535, more than one for each character) is a column of its own, so that it is made once a row.
     """
     seed, size = F.concat_ws("|", F.lit(key), "kind", F.col("attempt").cast("string"), "entry"), F.length("entry") + 24
-    hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(size / 16).cast("int")), lambda i: F.sha2(F.concat(seed, F.lit("|"), i.cast("string")), 256)), "")
-    numbers = F.transform(F.sequence(F.lit(0), size), lambda i: F.conv(F.substring(F.col("hexed"), i * 4 + 1, 4), 16, 10).cast("int"))
-    drawn = entries.withColumn("hexed", hexed).withColumn("stream", numbers)
-    return drawn.withColumn("made", _drawn(F.col("kind"), F.col("entry"), F.col("attempt"), F.col("stream"))).drop("hexed", "stream")
+    # Numbers are cut from the hash they lie in: from one joined string, each cut would walk there from the start.
+    hashes = F.transform(F.sequence(F.lit(0), F.floor(size / 16).cast("int")), lambda i: F.sha2(F.concat(seed, F.lit("|"), i.cast("string")), 256))
+    numbers = F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.conv(F.substring(h, j * 4 + 1, 4), 16, 10).cast("int"))))
+    drawn = entries.withColumn("stream", F.slice(numbers, F.lit(1), size + 1))
+    return drawn.withColumn("made", _drawn(F.col("kind"), F.col("entry"), F.col("attempt"), F.col("stream"))).drop("stream")
 
 
 def _drawn(kind: Column, entry: Column, attempt: Column, s: Column) -> Column:

@@ -110,6 +110,16 @@ def test_surrogates(spark, odd, none):
     assert surrogates.pseudonymise(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [6, 512, 513, 700, 20_000])
+def test_secrets_of_any_length(spark, length):
+    secret = ("Ab3xK9" * (length // 6 + 1))[:length]
+    text = f"x token = {secret} y"
+    got = surrogates.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), count="n").first()
+    made = got["text"].split()[3]
+    assert got["n"] == 1 and len(got["text"]) == len(text) and got["text"].split()[::4] == ["x", "y"]
+    assert not {secret[i:i + 12] for i in range(0, length - 11)} & {made[i:i + 12] for i in range(0, length - 11)} and made != secret
+
+
 def test_surrogates_stay_distinct(spark):
     """A space of 26 short addresses is drawn again until no two are alike and none is real."""
     mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrst"]
