@@ -10,7 +10,7 @@ all of them; each group is packed on its own.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,15 +22,17 @@ from colloquy.plans.store import materialise
 
 #: Pieces a group has on average.
 GROUP = 8192
-#: Bits of a source bitmap. Sources beyond share bits, which only adds conflicts.
-SOURCE_BITS = 512
+#: The sources with most pieces of a group have tables of rooms; the others, with few pieces each, walk the open rooms.
+TABLES = 512
 
 
 class Bins:
     """Open bins of one group, by the room they have left.
 
-    ``free[s]`` is a bitmap over room sizes: bit r is set if some bin with room r lacks source bit s, so the
-    next candidate room is found by a shift. Bins of a room are kept by their source bitmap, and each bin
+    Every source has a bit of its own, without a limit; a piece without a source has none and conflicts with no
+    bin for it. ``free[s]`` is a bitmap over room sizes: bit r is set if some bin with room r lacks source bit s, so the
+    next candidate room is found by a shift. Bits from ``TABLES`` on use ``open``, the rooms of any bin: such a source
+    is in few bins, so that few rooms are walked in vain. Bins of a room are kept by their source bitmap, and each bin
     carries the bitmap of its clusters (bits numbered as clusters appear in the group).
     """
 
@@ -39,6 +41,8 @@ class Bins:
         self.by_room: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.lacking: dict[int, dict[int, int]] = {}      # source bit -> room -> bins
         self.free: dict[int, int] = {}
+        self.bins_of: dict[int, int] = defaultdict(int)   # room -> bins
+        self.open = 0
 
     def _count(self, bit: int) -> None:
         """Start counting for a source when it first appears: no bin has it yet."""
@@ -47,6 +51,11 @@ class Bins:
         self.free[bit] = sum(1 << room for room in rooms)
 
     def _shift(self, room: int, sources: int, by: int) -> None:
+        self.bins_of[room] += by
+        if by > 0:
+            self.open |= 1 << room
+        elif not self.bins_of[room]:
+            self.open &= ~(1 << room)
         for bit, counts in self.lacking.items():
             if not sources >> bit & 1:
                 counts[room] += by
@@ -55,16 +64,16 @@ class Bins:
                 elif not counts[room]:
                     self.free[bit] &= ~(1 << room)
 
-    def find(self, size: int, bit: int, cluster: int) -> int | None:
+    def find(self, size: int, bit: int | None, cluster: int) -> int | None:
         """The tightest bin that fits ``size`` and has neither the source nor the cluster."""
-        if bit not in self.lacking:
+        if bit is not None and bit < TABLES and bit not in self.lacking:
             self._count(bit)
-        mask = self.free[bit] >> size << size
+        mask = self.free.get(bit, self.open) >> size << size
         while mask:
             room = (mask & -mask).bit_length() - 1
             found = None
             for sources, bins in self.by_room[room].items():
-                if not sources >> bit & 1:
+                if bit is None or not sources >> bit & 1:
                     own = min((b for b in bins if not self.clusters[b] >> cluster & 1), default=None)
                     if own is not None and (found is None or own < found):
                         found = own
@@ -73,10 +82,8 @@ class Bins:
             mask &= mask - 1
         return None
 
-    def put(self, size: int, bit: int, cluster: int) -> tuple[int, int]:
-        """``(bin, offset)`` of a piece."""
-        if bit not in self.lacking:
-            self._count(bit)
+    def put(self, size: int, bit: int | None, cluster: int) -> tuple[int, int]:
+        """``(bin, offset)`` of a piece; ``bit`` is null without a source."""
         at = self.find(size, bit, cluster)
         if at is None:
             at = len(self.used)
@@ -90,7 +97,7 @@ class Bins:
             self._shift(room, self.sources[at], -1)
         offset = self.used[at]
         self.used[at] += size
-        self.sources[at] |= 1 << bit
+        self.sources[at] |= 0 if bit is None else 1 << bit
         self.clusters[at] |= 1 << cluster
         room = self.capacity - self.used[at]
         if room:        # a full bin is closed
@@ -99,13 +106,15 @@ class Bins:
         return at, offset
 
 
-def best_fit(sizes: Iterable[int], sources: Iterable[int], clusters: Iterable[int], capacity: int) -> list[tuple[int, int]]:
-    """``(bin, offset)`` of each piece, in the order given."""
-    bins, bits, marks = Bins(capacity), {}, {}
+def best_fit(sizes: Iterable[int], sources: Iterable, clusters: Iterable, capacity: int) -> list[tuple[int, int]]:
+    """``(bin, offset)`` of each piece, in the order given. A null source conflicts with nothing."""
+    sources = list(sources)
+    # Bits by number of pieces; a source with one piece conflicts with nothing either.
+    often = Counter(s for s in sources if s is not None).most_common()
+    bins, bits, marks = Bins(capacity), {s: i for i, (s, n) in enumerate(often) if n > 1}, {}
     out = []
     for size, source, cluster in zip(sizes, sources, clusters):
-        bit = bits.setdefault(source, len(bits) % SOURCE_BITS)
-        out.append(bins.put(size, bit, marks.setdefault(cluster, len(marks))))
+        out.append(bins.put(size, bits.get(source), marks.setdefault(cluster, len(marks))))
     return out
 
 
@@ -133,8 +142,8 @@ def pack(items: DataFrame, key: str, size: str, source: str, cluster: str, capac
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by([("size", "descending"), ("cluster", "ascending"), ("source", "ascending"), ("key", "ascending"), ("row", "ascending")])
         sources, clusters = part.column("source").to_pylist(), part.column("cluster").to_pylist()
-        alone = range(len(sources))
-        placed = best_fit(part.column("size").to_pylist(), [(i, None) if s is None else s for i, s in zip(alone, sources)], [(i, None) if c is None else c for i, c in zip(alone, clusters)], capacity)
+        alone = range(len(clusters))
+        placed = best_fit(part.column("size").to_pylist(), sources, [(i, None) if c is None else c for i, c in zip(alone, clusters)], capacity)
         bins, offsets = (np.array([p[k] for p in placed], np.int64) for k in (0, 1))
         return part.select(["key", "piece", "size", "source", "cluster", "grp"]).append_column("local", pa.array(bins)).append_column("offset", pa.array(offsets))
 

@@ -446,6 +446,14 @@ def test_best_fit_against_plain():
         assert packing.best_fit(*zip(*items), 100) == plain_best_fit(items, 100)
 
 
+@pytest.mark.parametrize("sources, none", [(1300, 0.0), (3, 0.9), (700, 0.3)])
+def test_best_fit_with_many_sources_and_none(sources, none):
+    rng = np.random.default_rng(4)
+    items = [(int(rng.integers(1, 60)), None if rng.random() < none else f"s{int(rng.integers(sources))}", int(rng.integers(0, 400))) for _ in range(4000)]
+    alone = [(size, (i, None) if source is None else source, cluster) for i, (size, source, cluster) in enumerate(items)]
+    assert packing.best_fit(*zip(*items), 100) == plain_best_fit(alone, 100)
+
+
 def test_packing(spark, odd, none):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     got = packing.pack_documents(docs, 512).toPandas()
