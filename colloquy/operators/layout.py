@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,22 +124,19 @@ def paragraphs_from_prose(sentences: DataFrame, per: int = 5) -> DataFrame:
 
 
 def dialogue(segments: DataFrame) -> DataFrame:
-    """Consecutive segments of one speaker as one turn: ``[speaker] text``.
+    """Consecutive segments of one speaker as one turn: ``[speaker] text``, a row per turn of any length.
 
-    A turn of more than ``PART_ROWS`` segments continues in further parts, so that no
-    single row has to hold an endless monologue.
+    Texts are joined in pieces of ``PART_ROWS`` segments first, so that a long turn is spread over tasks until
+    its last step. ``part`` is always 0. A turn's text has to fit a row, as does the text of its SQL.
     """
     s = in_order(segments, KEYS, ["seg_no"], islands=(
         "turn_no", {"s": F.col("speaker")}, lambda a, b: ~a["s"].eqNullSafe(b["s"])))
     pieces = s.groupBy("recording_id", "turn_no", F.floor(F.col("seg_no") / PART_ROWS).alias("_piece")).agg(
         F.first("speaker").alias("speaker"), _texts("text", ["seg_no"]).alias("text"))
-    # A turn no longer than PART_ROWS lies in at most two pieces, hence in part 0.
-    nth = F.row_number().over(Window.partitionBy("recording_id", "turn_no").orderBy("_piece")) - 1
-    g = pieces.withColumn("_nth", nth).groupBy(
-        "recording_id", "turn_no", F.floor(F.col("_nth") / 2).alias("part")).agg(
+    g = pieces.groupBy("recording_id", "turn_no").agg(
         F.first("speaker").alias("speaker"), tx.clean_text(_texts("text", ["_piece"])).alias("_t"))
-    line = F.when(F.col("part") == 0, F.concat(F.lit("["), "speaker", F.lit("] "), "_t")).otherwise(F.col("_t"))
-    return g.where("_t <> ''").select("recording_id", "turn_no", "part", "speaker", line.alias("text"))
+    return g.where("_t <> ''").select("recording_id", "turn_no", F.lit(0).cast("long").alias("part"), "speaker",
+                                      F.concat(F.lit("["), "speaker", F.lit("] "), "_t").alias("text"))
 
 
 def prompt_text(sentences: DataFrame, order: str = "seg_no", keys: list[str] | None = None) -> DataFrame:

@@ -34,6 +34,14 @@ def test_more_than_a_hundred_voices(spark):
     assert got == {0: "SPEAKER_01", 1: "SPEAKER_05"} | {i: f"SPEAKER_{free[i - 2]:02d}" for i in range(2, n)}
 
 
+@pytest.mark.parametrize("n", [4096, 4097, 20000])
+def test_a_turn_of_any_length_is_a_row(spark, n):
+    segments = spark.range(n + 1).select(F.lit(1).cast("long").alias("recording_id"), F.col("id").alias("seg_no"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"),
+                                         F.when(F.col("id") < n, "A").otherwise("B").alias("speaker"))
+    got = [tuple(r) for r in layout.dialogue(segments).orderBy("turn_no").select("turn_no", "part", "speaker", "text").collect()]
+    assert got == [(0, 0, "A", "[A] " + " ".join(f"w{i}" for i in range(n))), (1, 0, "B", f"[B] w{n}")]
+
+
 @pytest.mark.parametrize("block_rows", [1, 7, 8, 16384])
 def test_untimed_words_at_block_edges(spark, block_rows, monkeypatch):
     words = spark.createDataFrame([(1, 0, i, f"w{i}", None if i % 8 == 7 else i * 300, None if i % 8 == 7 else i * 300 + 200) for i in range(40)],
