@@ -27,13 +27,18 @@ PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,127}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "cloudkey": r"(?=A)(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?=[A-Z]{2}\d{2})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?=[0-9A-Fa-f]{0,4}:)(?=[0-9A-Fa-f:]{0,38}\d)(?<![:.\w])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![:\w]|\.\d)",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?=[\d+(])(?<![\d+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?=[\d+(])(?<![\d+])(?:(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+[1-9](?:[ .()/-]{0,2}\d){7,14}(?!\d))",
     "ssn": r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?=\d)(?:\d[ -]?){12,18}\d(?!\d)",
+    "card": r"(?=\d)\d(?:[ -]?\d){12,}+",       # a whole run of groups; cards are looked for in it
     "name": rf"(?=[MHSDPFГΚ])(?<!\p{{L}}){_TITLE}\.?\s{_WORD}(?:\s{_WORD})?",
 }
 PATTERN = r"(?<![A-Za-z0-9])(?:" + "|".join(PATTERNS.values()) + ")"
+#: For what is left of a run of digits, and the text around it.
+WITHOUT_CARDS = r"(?<![A-Za-z0-9])(?:" + "|".join(p for name, p in PATTERNS.items() if name != "card") + ")"
+#: A phone number of ten digits, which is the same with or without a country before it.
+TEN_DIGITS = r"^(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$"
 #: Texts without any of these have no match; most texts are done with that.
 SIGNS = ("@", "=", ":", "AKIA", "ASIA", *(t for t in MALE + FEMALE + NEUTRAL if not any(o != t and o in t for o in MALE + FEMALE + NEUTRAL)))
 DIGITS = r"[0-9]\.[0-9]|[0-9]{2}"
@@ -89,8 +94,49 @@ def _digits(text: Column) -> Column:
 
 
 def _is_luhn(text: Column) -> Column:
+    """Whether a text has 13 to 19 digits, the last of which checks the others."""
     digits = _digits(text)
-    return _luhn(digits.substr(F.lit(1), F.length(digits) - 1)) == digits.substr(F.length(digits), F.lit(1))
+    return F.length(digits).between(13, 19) & (_luhn(digits.substr(F.lit(1), F.length(digits) - 1)) == digits.substr(F.length(digits), F.lit(1)))
+
+
+def _cards_in(run: Column) -> Column:
+    """A run of digit groups as pieces: from each group on the longest row of groups that passes the card check, the rest as kind ``run``."""
+    def piece(kind, text):
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    def joined(groups, first, n):
+        return F.array_join(F.slice(groups, first + 1, n), "")
+
+    def found(groups):
+        size = F.size(groups)
+
+        def step(state, i):
+            # Groups have a digit at least: a card has 19 groups at most.
+            lengths = F.filter(F.sequence(F.least(F.lit(19), size - i), F.lit(1), F.lit(-1)), lambda n: _is_luhn(joined(groups, i, n)))
+            n = F.when(i >= state["at"], F.get(lengths, F.lit(0)))
+            return F.transform(F.array(n), lambda n: F.when(n.isNull(), state).otherwise(F.struct(
+                (i + n).alias("at"), F.concat(state["out"], F.array(F.struct(i.alias("first"), n.alias("n")))).alias("out"))))[0]
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,n:int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda state: state["out"])
+
+    def cut(groups):
+        def pieces(cards):
+            upto = lambda k: F.when(k < 0, 0).otherwise(F.get(cards, k)["first"] + F.get(cards, k)["n"])
+            each = F.transform(cards, lambda c, k: F.array(piece("run", joined(groups, upto(k - 1), c["first"] - upto(k - 1))),
+                                                           piece("card", F.regexp_replace(joined(groups, c["first"], c["n"]), "[ -]$", "")),
+                                                           piece("run", F.regexp_extract(joined(groups, c["first"], c["n"]), "[ -]?$", 0))))
+            last = upto(F.size(cards) - 1)
+            return F.concat(F.flatten(each), F.array(piece("run", joined(groups, last, F.size(groups) - last))))
+        return F.flatten(F.transform(F.array(found(groups)), pieces))
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0))), cut))
+
+
+def _ip6(text: Column) -> Column:
+    """The eight groups of an IPv6 address, in lower case and without zeros at their beginning."""
+    half = lambda n: F.filter(F.split(F.substring_index(F.lower(text), "::", n), ":"), lambda g: g != "")
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(half(1)) - F.size(half(-1)), F.lit(0)))
+    groups = F.when(F.contains(text, F.lit("::")), F.concat(half(1), zeros, half(-1))).otherwise(F.split(F.lower(text), ":"))
+    return F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
 
 
 def kind_of(match: Column) -> Column:
@@ -116,12 +162,13 @@ def parts_of(match: Column) -> Column:
     name = F.when(two, F.array(piece(None, title), piece(F.concat(F.lit("given_"), gender), first), piece(None, F.regexp_extract(match, named, 3)), piece("family", second))
                   ).otherwise(F.array(piece(None, title), piece("family", first)))
     secret = F.array(piece(None, F.regexp_extract(match, lead, 1)), piece("secret", F.regexp_extract(match, lead, 2)))
-    return F.when(kind == "name", name).when(kind == "secret", secret).otherwise(F.array(piece(kind, match)))
+    return F.when(kind == "name", name).when(kind == "secret", secret).when(kind.isNull(), _cards_in(match)).otherwise(F.array(piece(kind, match)))
 
 
 def meaning(kind: Column, text: Column) -> Column:
     """What makes two entries the same: digits, lower case, or the text itself."""
-    return (F.when(kind == "phone", F.right(_digits(text), F.lit(10))).when(kind.isin("card", "ssn"), _digits(text)).when(kind == "iban", F.replace(text, F.lit(" "), F.lit("")))
+    phone = F.when(text.rlike(TEN_DIGITS), F.right(_digits(text), F.lit(10))).otherwise(F.concat(F.lit("+"), _digits(text)))
+    return (F.when(kind == "phone", phone).when(kind == "ip6", _ip6(text)).when(kind.isin("card", "ssn"), _digits(text)).when(kind == "iban", F.replace(text, F.lit(" "), F.lit("")))
             .when(kind == "email", F.lower(text)).when(kind.startswith("given_") | (kind == "family"), F.lower(text)).otherwise(text))
 
 
@@ -155,6 +202,14 @@ def _drawn(kind: Column, entry: Column, attempt: Column, s: Column) -> Column:
     mapped = _mapped(entry, s)
     body = F.concat(F.left(entry, F.lit(1)), mapped.substr(F.lit(2), F.length(entry) - 2))
     phone = F.concat((at(20) % 8 + 2).cast("string"), mapped.substr(2, 2), (at(21) % 8 + 2).cast("string"), mapped.substr(F.lit(5), F.length(entry)))
+    # International numbers keep the first two digits while that gives enough numbers.
+    abroad = F.when(attempt < 8, F.concat(F.left(entry, F.lit(3)), mapped.substr(F.lit(4), F.length(entry)))).otherwise(
+        F.concat(F.lit("+"), (at(20) % 9 + 1).cast("string"), mapped.substr(F.lit(3), F.length(entry))))
+    phone = F.when(entry.startswith("+"), abroad).otherwise(phone)
+    # Groups of an IPv6 address keep their length, and zeros stay, while that gives enough addresses.
+    low = lambda g: F.when(attempt < 8, F.pow(F.lit(16), F.length(g) - 1)).otherwise(4096).cast("int")
+    ip6 = F.array_join(F.transform(F.split(entry, ":"), lambda g, i: F.when((attempt < 8) & ((g == "0") | ((i == 0) & g.rlike("^f[c-f]"))), g)
+                                   .otherwise(F.lower(F.hex(low(g) + F.get(s, i) % (low(g) * 15))))), ":")
     ssn = F.concat((at(10) % 5 + 1).cast("string"), mapped.substr(2, 2), _pick(tuple("123456789"), at(11)), mapped.substr(5, 1), mapped.substr(6, 3), _pick(tuple("123456789"), at(12)))
     country, account = F.left(entry, F.lit(2)), mapped.substr(F.lit(5), F.length(entry))
     iban = F.concat(country, _iban_check(country, account), account)
@@ -167,7 +222,7 @@ def _drawn(kind: Column, entry: Column, attempt: Column, s: Column) -> Column:
         more = F.when(attempt < 1, "").otherwise(F.concat(_pick(tuple(onsets), at(7)), _pick(tuple(vowels), at(8)), F.when(attempt < 4, "").otherwise(_mapped(F.repeat(F.lit(onsets[0]), (attempt / 4).cast("int")), s, (onsets,)))))
         made = F.concat(_pick(tuple(onsets), at(0)), _pick(tuple(vowels), at(1)), _pick(tuple(onsets), at(2)), _pick(tuple(vowels), at(3)), more, _pick(tuple(onsets), at(4)), _pick(tuple(vowels), at(5)), ending)
         name = made if name is None else F.when(entry.rlike(r"\p{IsCyrillic}" if script == "cyrillic" else r"\p{IsGreek}"), made).otherwise(name)
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "phone", phone).when(kind == "ssn", ssn)
+    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", F.concat(body, _luhn(body))).when(kind == "phone", phone).when(kind == "ssn", ssn)
             .when(kind == "iban", iban).when(kind == "cloudkey", cloud).when(kind == "secret", secret).otherwise(name))
 
 
@@ -178,8 +233,11 @@ def render(kind: Column, text: Column, made: Column) -> Column:
         F.concat(acc["out"], F.when(c.rlike(r"\d") & (acc["at"] <= F.length(back)), F.substring(back, acc["at"], 1)).otherwise(c)).alias("out"),
         F.when(c.rlike(r"\d"), acc["at"] + 1).otherwise(acc["at"]).alias("at")), lambda acc: F.reverse(acc["out"]))
     spaced = F.when(F.contains(text, F.lit(" ")), F.trim(F.regexp_replace(made, "(.{4})", "$1 "))).otherwise(made)
+    short = F.regexp_replace(made, "^(.*?)(?:^|:)0(?::0)*(?:$|:)(.*)$", "$1::$2")
+    padded = F.array_join(F.transform(F.split(made, ":"), lambda g: F.lpad(g, 4, "0")), ":")
+    ip6 = F.when(F.contains(text, F.lit("::")), short).when(F.length(text) == 39, padded).otherwise(made)
     caps = (F.upper(text) == text) & (F.lower(text) != text)
-    return (F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "iban", spaced).when((kind == "email") & caps, F.upper(made))
+    return (F.when(kind.isin("phone", "card", "ssn"), numbers).when(kind == "iban", spaced).when(kind == "ip6", F.when(caps, F.upper(ip6)).otherwise(ip6)).when((kind == "email") & caps, F.upper(made))
             .when(kind.startswith("given_") | (kind == "family"), F.when(caps & (F.length(text) > 1), F.upper(made)).otherwise(F.initcap(made))).otherwise(made))
 
 
@@ -217,9 +275,23 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = "colloquy", count
     counted = [F.lit(0).alias(count)] if count else []
     has = F.coalesce(rough(F.col(f"`{text}`")) & F.col(f"`{text}`").rlike(PATTERN), F.lit(False))
     dirty = df.where(has).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("t")).withColumn("digest", F.sha2("t", 256))
-    matches, gaps = F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)), F.split("t", PATTERN, -1)
     literal = lambda x: F.array(F.struct(F.lit(None).cast("string").alias("kind"), x.alias("text")))
-    pieces = F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), lambda p: F.when(p["match"].isNull(), literal(p["gap"])).otherwise(F.concat(literal(p["gap"]), parts_of(p["match"])))))
+
+
+    def cut(t, pattern):
+        matches, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+        return F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), lambda p: F.when(p["match"].isNull(), literal(p["gap"])).otherwise(F.concat(literal(p["gap"]), parts_of(p["match"])))))
+
+    def joined(state, p):
+        own = F.concat(state["open"], p["text"])
+        return F.when(p["kind"].isNull() | (p["kind"] == "run"), F.struct(own.alias("open"), state["out"].alias("out"))).otherwise(
+            F.struct(F.lit("").alias("open"), F.concat(state["out"], literal(state["open"]), F.array(p)).alias("out")))
+    # What a run of digits leaves is joined to the text around it again, and may hold other entries.
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<kind:string,text:string>>").alias("out"))
+    whole = F.aggregate("first", start, joined, lambda state: F.concat(state["out"], literal(state["open"])))
+    again = F.flatten(F.transform(whole, lambda p: F.when(p["kind"].isNull(), cut(p["text"], WITHOUT_CARDS)).otherwise(F.array(p))))
+    dirty = dirty.withColumn("first", cut(F.col("t"), PATTERN))
+    pieces = F.when(F.exists("first", lambda p: F.coalesce(p["kind"] == "run", F.lit(False))), again).otherwise(F.col("first"))
     mentions = (dirty.select("digest", F.explode(pieces).alias("p")).where("p.kind is not null")
                 .select("digest", "p.kind", meaning(F.col("p.kind"), F.col("p.text")).alias("entry")).distinct())
     mentions = materialise(mentions)

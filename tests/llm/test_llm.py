@@ -1,6 +1,7 @@
 """The training-data operators on small tables: against plain versions, and with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import ipaddress
 import zlib
 
 import numpy as np
@@ -120,6 +121,24 @@ def test_secrets_of_any_length(spark, length):
     assert not {secret[i:i + 12] for i in range(0, length - 11)} & {made[i:i + 12] for i in range(0, length - 11)} and made != secret
 
 
+def test_cards_in_runs_phones_and_ipv6(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 123", "4111111111111111 12/27", f"no 17 {card}", f"{card} 555-123-4567", f"{card} 12 {card}", f"1 {card} 10.0.0.1", f"{card} 9 ann@x.com",
+             "+49 30 1234567 +49 (30) 1234567", "+44 20 7946 0958", "555 123 4567 and 555-123-4567", "2001:db8::8a2e:370:7334 2001:0DB8:0000:0000:0000:8A2E:0370:7334", "at fe80::1.",
+             "std::vector a::b 12:30:45; 1234 5678 9012 3451"]
+    got = [(r["text"], r["n"]) for r in surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count="n").orderBy("doc_id").collect()]
+    assert [n for _, n in got] == [1, 1, 1, 2, 2, 2, 2, 2, 1, 2, 2, 1, 0]
+    shape = lambda x: "".join("0" if c.isdigit() else c for c in x)
+    assert [shape(t) for t, _ in got[:5]] == [shape(t) for t in texts[:5]]
+    out = [t for t, _ in got]
+    assert not [t for t in out for gone in (card, card.replace(" ", ""), "123-4567", "123 4567", "10.0.0.1", "ann@", "1234567", "7946", "8a2e", "fe80::1.") if gone in t]
+    assert out[0].endswith(" 123") and out[1].endswith(" 12/27") and out[2].startswith("no 17 ") and out[4][:19] == out[4][-19:]
+    digits = lambda x: "".join(filter(str.isdigit, x))
+    assert digits(out[7])[:11] == digits(out[7])[11:] and digits(out[9])[:10] == digits(out[9])[10:] and out[12] == texts[12]
+    one, two = (ipaddress.ip_address(a) for a in out[10].split())
+    assert one == two and len(out[10].split()[1]) == 39
+
+
 def test_surrogates_stay_distinct(spark):
     """A space of 26 short addresses is drawn again until no two are alike and none is real."""
     mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrst"]
