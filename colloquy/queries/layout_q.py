@@ -90,8 +90,8 @@ def _(spark, sf):
 @query("match_voices_open")
 def _(spark, sf):
     v = fx.voices(spark, sf)
-    learned = sp.learn_voices(v.where("seg_no < 30 and speaker < 'SPEAKER_05'"))
-    return sp.match_voices(v.where("seg_no >= 30"), learned).withColumn("likeness", F.round("likeness", 6))
+    learned = sp.learn_voices(v.where("speaker < 'SPEAKER_05'"))
+    return sp.match_voices(v, learned).withColumn("likeness", F.round("likeness", 6))
 
 
 @query("speakers_in_order", sql("segments", """

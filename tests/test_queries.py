@@ -5,6 +5,7 @@ from check import connect, digest, duck_rows, spark_rows
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from colloquy import fixtures
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -29,5 +30,11 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_every_stretch_is_matched(spark):
+    keys = ["recording_id", "seg_no"]
+    got, want = QUERIES["match_voices_open"](spark, SMALL).select(*keys), fixtures.voices(spark, SMALL).select(*keys)
+    assert got.count() == want.count() and want.exceptAll(got).isEmpty()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
