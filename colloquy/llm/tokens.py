@@ -60,7 +60,7 @@ def load(path: str) -> Tokenizer:
     else:
         with open(path, "rb") as lines:
             made = from_ranks(lines)
-    made.encode_special_tokens = True
+        made.encode_special_tokens = True
     return made
 
 
@@ -93,6 +93,9 @@ class Encoder:
         self.tokenizer = load(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
         self.model, self.chars = self.tokenizer.model, byte_chars()
+        # Added tokens that the library finds in texts; a text with one is left to it as a whole.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (t.special and self.tokenizer.encode_special_tokens)]
         self.table = {chr(b): c for b, c in enumerate(self.chars) if b < 128}
         self.ascii = str.maketrans(self.table)
         self.pieces, self.cuts = _Memory(self._piece), _Memory(self._cut)
@@ -116,6 +119,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as bytes of type ``width``."""
+        if any(token in text for token in self.added):
+            return self._whole(text)
         first, *cuts = text.split(" ") if _ODD.search(text) is None else _GAP.split(text)
         return self._whole(first) + b"".join(map(self.cuts.__getitem__, cuts))
 

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -249,6 +250,13 @@ def test_store_round_trip(spark, odd, none, tmp_path):
     assert huffman.store(none, JSON).count() == 0
 
 
+def test_added_tokens_equal_a_plainly_loaded_tokenizer():
+    plain, use = tokenizers.Tokenizer.from_file(JSON), tokens.Encoder(JSON)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z\n<|endoftext|>", "<|endoftext|", "a b"):
+        assert np.frombuffer(use(text), use.width).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(use("a <|endoftext|> b"), use.width)
+
+
 def test_ids_equal_the_library(spark, odd, none):
     ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
