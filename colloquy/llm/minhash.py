@@ -96,7 +96,9 @@ def _needed_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 def _least_overlap(n: Column, percent: int) -> Column:
     """Retained values that a class of ``n`` shingles shares at least with any class above the threshold."""
-    whole = F.ceil(n * percent / 100) - F.when(n > RETAINED * percent // 100, 3).otherwise(0)
+    # The largest partner may hold as many shared values beyond its sketch as it is larger than that.
+    beyond = F.greatest(F.floor(n * 100 / percent) - RETAINED, F.lit(0))
+    whole = F.least(F.ceil(n * percent / 100), n - beyond)
     return F.greatest(F.when(n <= RETAINED, whole).otherwise(RETAINED * (percent - MARGIN) // 100 + 1), F.lit(1)).cast("int")
 
 

@@ -312,6 +312,26 @@ def plain_dedup(docs, percent):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_edge(spark, percent):
+    """A set of up to 64 inside the largest set that it is near to, of which all values beyond the sketch are shared."""
+    rng, docs, want = np.random.default_rng(6), [], set()
+    for n in (56, 60, 62, 63, 64):
+        m = n * 100 // percent
+        for _ in range(2000):
+            words = [f"w{x}" for x in rng.integers(0, 10**6, m + 4)]
+            large, small = (minhash.shingles(" ".join(w)) for w in (words, words[:n + 4]))
+            if len(large) == m and len(small) == n and len(set(large[:64]) & set(small)) == min(n, n - (m - 64)):
+                docs += [" ".join(words), " ".join(words[:n + 4])]
+                want.add((len(docs) - 2, len(docs) - 1))
+                break
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), percent=percent).collect()}
+    assert want and all(got[a] == got[b] for a, b in want)
+    own = spark.range(1, 65).select("id", minhash._least_overlap(F.col("id"), percent).alias("k")).collect()
+    least = lambda n, m: -(-percent * (n + m) // (100 + percent)) - max(0, m - 64)
+    assert all(r["k"] == max(1, min(least(r["id"], m) for m in range(-(-r["id"] * percent // 100), r["id"] * 100 // percent + 1))) for r in own)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_against_all_pairs(spark, percent, monkeypatch):
     """Chains of edits, a passage that many share, and lists longer than a block."""
