@@ -8,6 +8,7 @@ response with the same payload) and a metadata record. Request and metadata name
 from __future__ import annotations
 
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,9 +90,9 @@ def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> No
 
 
 RECORDS = ("warc_type string, record_id string, concurrent_to string, refers_to string, target_uri string, digest string, "
-           "fields map<string,string>, http_bytes long, payload binary")
+           "fields map<string,string>, http_bytes long, measured string, payload binary")
 _ARROW = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()),
-                    ("digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("http_bytes", pa.int64()), ("payload", pa.binary())])
+                    ("digest", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("http_bytes", pa.int64()), ("measured", pa.string()), ("payload", pa.binary())])
 
 
 def _plain(value: str) -> str:
@@ -124,7 +125,7 @@ def _rows(name: str, data: bytes, payloads: bool) -> Iterator[tuple]:
         elif headers.get("content-type", "") == "application/warc-fields":
             fields = _named(block)
         yield (kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"),
-               headers.get("warc-payload-digest"), list(fields.items()), len(body), body if payloads else None)
+               headers.get("warc-payload-digest"), list(fields.items()), len(body), hashlib.sha256(body).hexdigest() if kind == "response" else None, body if payloads else None)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -150,16 +151,20 @@ def assemble(records: DataFrame) -> DataFrame:
     request = records.where("warc_type = 'request'").select(concurrent, F.struct(F.col("record_id").alias("id"), F.col("fields")).alias("request")).dropDuplicates(["record_id"])
     metadata = records.where("warc_type = 'metadata'").select(concurrent, F.struct(F.col("record_id").alias("id"), F.col("fields")).alias("metadata")).dropDuplicates(["record_id"])
     main = records.where("warc_type in ('response', 'revisit')").select(
-        "record_id", "target_uri", F.struct("warc_type", F.col("digest"), "refers_to", "fields", "http_bytes", "payload").alias("response"))
+        "record_id", "target_uri", F.struct("warc_type", F.col("digest"), "refers_to", "fields", "http_bytes", "measured", "payload").alias("response"))
     return main.join(request, "record_id", "left").join(metadata, "record_id", "left")
 
 
 def page_table(captured: DataFrame) -> DataFrame:
-    """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)`` per capture; ``refers_to`` is the response's page_id."""
+    """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)`` per capture; ``refers_to`` is the response's page_id.
+
+    Bytes and digest are those of the body that was read; a revisit's are those of the response it names, null if that is missing.
+    """
     page = F.element_at("metadata.fields", F.lit("page-id")).cast("bigint")
-    rows = captured.select("record_id", page.alias("page_id"), F.col("target_uri").alias("url"), F.element_at("metadata.fields", F.lit("payload-length")).cast("bigint").alias("payload_bytes"),
-                           F.regexp_replace("response.digest", "^sha256:", "").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("target"))
+    rows = captured.select("record_id", page.alias("page_id"), F.col("target_uri").alias("url"), F.col("response.http_bytes").alias("bytes"), F.col("response.measured").alias("digest"),
+                           F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").alias("target"))
+    own = lambda name: F.when(F.col("record_type") == "response", F.col(name)).otherwise(F.col(f"t_{name}"))
     # Only revisited responses are looked up: far fewer than the revisits that name them.
     named = rows.where("target is not null").select(F.col("target").alias("record_id")).distinct()
-    targets = rows.join(named, "record_id", "left_semi").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to")).dropDuplicates(["target"])
-    return rows.join(targets, "target", "left").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    targets = rows.join(named, "record_id", "left_semi").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("t_bytes"), F.col("digest").alias("t_digest")).dropDuplicates(["target"])
+    return rows.join(targets, "target", "left").select("page_id", "url", own("bytes").alias("payload_bytes"), own("digest").alias("payload_digest"), "record_type", "refers_to")

@@ -471,6 +471,15 @@ def test_archives(spark, tmp_path):
     assert warc.captures(frame.where("false")).count() == 0
 
 
+def test_garbled_payloads_show(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "v", "a" * 200)], "page_id long, url string, html string")
+    text = "".join(r[0] + warc.RECORD_END for r in warc.captures(pages).collect()).replace("a" * 200, "a" * 199 + "b")
+    (tmp_path / "g.warc").write_bytes(text.encode())
+    got = rows(warc.page_table(warc.assemble(warc.read(spark, f"{tmp_path}/g.warc", payloads=False))), "page_id", "payload_bytes", "payload_digest", "record_type")
+    sha = hashlib.sha256(b"a" * 199 + b"b").hexdigest()
+    assert got == [(1, 200, sha, "response"), (2, 200, sha, "revisit")]
+
+
 # 10: packing
 
 def plain_best_fit(items, capacity):
