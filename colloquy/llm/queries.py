@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import hnsw, huffman, minhash, oracles, packing, permutation, ring, surrogates, tokens, toxicity, warc
+from colloquy.llm import chunks, codes, hnsw, huffman, lexical, minhash, oracles, packing, permutation, ring, surrogates, tokens, toxicity, warc
 from colloquy.llm.common import table
 from colloquy.plans.store import materialise, shared_dir
 
@@ -86,3 +86,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_hnsw_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_bag_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_chunked_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op13_hadamard_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_table(table(spark, sf_dir, "embeddings"))
