@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ WINDOW, LEAST, GREATEST, BITS = 32, 128, 8192, 10
 FILTER_BITS = 1 << 26
 #: Chunks with over one in so many occurrences are dealt over several tasks; there are at most so many of them.
 HOT = 2000
-#: Bytes of words and ids a task remembers.
-MEMORY = 160 << 20
+#: Bytes of words and ids a worker remembers, from one task to the next, in two generations.
+MEMORY = 64 << 20
 #: White space that texts are split at: what Python takes for it but the four separators that vocabularies do not.
 GAPS = [chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -77,7 +78,7 @@ def cuts(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 class Words(dict):
-    """Ids of words (runs without white space), as the library gives them for the word alone; a task remembers them up to a number of bytes."""
+    """Ids of words (runs without white space), as the library gives them for the word alone; they are remembered up to a number of bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -105,7 +106,7 @@ class Words(dict):
         ids = self.old.get(word)
         if ids is None:
             core = word.rstrip(".,;:!?")
-            if self.plain and core.isalpha() and max(core) < "\u0250" and (low := core.lower()).isalpha():
+            if self.plain and core.isalpha() and (core.isascii() or max(core) < "\u0250") and (low := core.lower()).isalpha():
                 ids = array(self.code, self._model(low)).tobytes()
                 if len(core) < len(word):
                     ids += self[word[len(core):]]
@@ -120,6 +121,11 @@ class Words(dict):
         return ids
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    return Words(path)
+
+
 @dataclass
 class Run:
     """Encoded text: the word it begins in, the ids of its complete words and the word it ends in.
@@ -162,10 +168,10 @@ def finish(run: Run, words: Words) -> bytes:
 
 
 def _batches(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Batches with the chunks of their texts (null: none), a few megabytes of text at a time."""
+    """Batches with the chunks of their texts (null: none), about two megabytes of text at a time."""
     for batch in batches:
         size = pc.binary_length(batch.column(place)).fill_null(0).to_numpy()
-        part = np.cumsum(size) // (4 << 20)
+        part = np.cumsum(size) // (2 << 20)
         bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
         for lo, hi in zip(bounds, bounds[1:]):
             some = batch.slice(lo, hi - lo)
@@ -232,7 +238,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def local(batches):
         """A row per document with its number of chunks, and one per stretch of chunks that occur nowhere else."""
-        words, shared, types = Words(path), own.value, None
+        words, shared, types = words_of(path), own.value, None
         for batch, chunked in _batches(batches, 2):
             types = types or pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("chunks", pa.int32()), ("key", batch.schema.field(1).type), ("head", pa.string()),
                                         ("ids", pa.binary()), ("tail", pa.string()), ("open", pa.bool_())])
@@ -269,7 +275,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def once(batches):
         """Each chunk is encoded where it first stands; its other occurrences follow and take its ids."""
-        words, last, of, made = Words(path), None, None, None
+        words, last, of, made = words_of(path), None, None, None
         types = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("chunks", pa.int32()), ("head", pa.string()), ("ids", pa.binary()), ("tail", pa.string()), ("open", pa.bool_())])
         for batch in batches:
             out = []
@@ -285,7 +291,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             yield _grouped(out, types)
 
     def assemble(batches):
-        words, now, name, due, at, made = Words(path), None, None, 0, 0, None
+        words, now, name, due, at, made = words_of(path), None, None, 0, 0, None
         names, sizes, flat = [], [], []
 
         def close():
