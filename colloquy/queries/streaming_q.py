@@ -126,6 +126,43 @@ def _(spark, sf):
     return drained(live.live_assign_speakers(streamed(s), streamed(t))).where("recording_id >= 0")
 
 
+def _clock(c):
+    return F.timestamp_micros(F.lit(1_767_225_600_000_000) + F.col(c) * 1000)
+
+
+def _turn_rows(spark, sf):
+    return fx.turns(spark, sf).select("recording_id", "turn", _clock("turn_start_ms").alias("turn_ts"), _clock("turn_end_ms").alias("turn_ts_end"), "speaker")
+
+
+@query("live_speakers", ORACLES["assign_speakers"])
+def _(spark, sf):
+    """Against the SQL of the stored segments."""
+    s = fx.segments(spark, sf).select("recording_id", "seg_no", _clock("start_ms").alias("ts"), _clock("end_ms").alias("ts_end"))
+    return drained(live.live_speakers(streamed(s), streamed(_turn_rows(spark, sf)))).where("recording_id >= 0")
+
+
+@query("job_live", f"""select p.recording_id, p.start_ms, p.end_ms, s.speaker, p.text from ({ORACLES['paragraphs']}) p
+ join (select a.recording_id, x.start_ms, a.speaker from ({ORACLES['assign_speakers']}) a join ({sql("segments", " select recording_id, seg_no, start_ms from segments")}) x using (recording_id, seg_no)) s
+   on p.recording_id=s.recording_id and p.start_ms=s.start_ms""")
+def _(spark, sf):
+    """Pieces of a turn each, some delivered twice, and turns; against the SQL of the stored paragraphs and speakers."""
+    p = _pieces(spark, sf)
+    twice = p.unionByName(p.where("piece_no % 3 = 1"))
+    out = drained(live.live_job(streamed(materialise(twice)), streamed(_turn_rows(spark, sf)))).where("recording_id >= 0")
+    def ms(c):
+        return F.unix_millis(c) - 1_767_225_600_000
+    return out.select("recording_id", ms("started").alias("start_ms"), ms("ended").alias("end_ms"), "speaker", tx.clean_text(F.col("text")).alias("text"))
+
+
+def _pieces(spark, sf):
+    s = fx.segments(spark, sf)
+    p = s.groupBy("recording_id", F.col("turn").alias("piece_no")).agg(F.min("start_ms").alias("piece_start_ms"), F.sort_array(F.collect_list(F.struct("seg_no", "text", "start_ms", "end_ms"))).alias("_s"))
+    none = F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>")
+    at = F.col("piece_start_ms")
+    return p.select("recording_id", "piece_no", "piece_start_ms", F.to_timestamp(F.lit("2026-01-01 00:00:00")).alias("started_at"), F.transform("_s", lambda x: F.struct(
+        x["text"].alias("text"), (x["start_ms"] - at).alias("start_ms"), (x["end_ms"] - at).alias("end_ms"), none.alias("words"))).alias("segments"))
+
+
 @query("live_voices")
 def _(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
