@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,31 @@ BATCH_ROWS = 512
 BROADCAST_ROWS = 1_000_000
 
 
+class Memory(dict):
+    """What ``make`` gives for a word, remembered by a worker up to about ``most`` bytes (``entry`` for each besides the word).
+
+    In two generations: when the newer is full it replaces the older, and what is still asked for moves on.
+    """
+
+    def __init__(self, make: Callable, most: int, entry: int = 200, longest: int = 64):
+        super().__init__()
+        self.make, self.room, self.entry, self.longest = make, most // 2, entry, longest
+        self.old: dict = {}
+        self.size = 0
+
+    def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= self.longest:
+            self.size += self.entry + len(word)
+            if self.size > self.room:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[word] = value
+        return value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -124,25 +124,35 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key long, ids binary)``: little-endian ids of every whole text (null: empty), then ``end_id``."""
+    """``(key long, ids binary, counts binary)``: little-endian ids of every whole text (null: empty), then ``end_id``.
+
+    Each task ends with a row of how often it gave each id (64-bit integers) and no ids.
+    """
     def run(batches):
+        use = encoder(vocabulary)
+        end = np.array([end_id], use.width).tobytes()
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            use = encoder(vocabulary)
-            end = np.array([end_id], use.width).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([use(t.as_py() or "") + end for t in batch.column(1)], pa.binary())], names=["key", "ids"])
-    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids binary")
+            ids = [use(t.as_py() or "") + end for t in batch.column(1)]
+            own = np.bincount(np.frombuffer(b"".join(ids), use.width), minlength=len(total))
+            own[:len(total)] += total
+            total = own
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["key", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["key", "ids", "counts"])
+    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids binary, counts binary")
 
 
-def count_ids(ids: DataFrame, width: str, size: int) -> np.ndarray:
-    """How often each of ``size`` ids occurs in all rows; added up in every task, so that a task sends a row per id at most."""
+def count_ids(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each of ``size`` ids occurs in all rows, from the counts that the encoding tasks left; the ids themselves are not read."""
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for part in batch.column(0):
-                total += np.bincount(np.frombuffer(part.as_py(), width), minlength=size)
+                own = np.frombuffer(part.as_py(), "<i8")
+                total[:len(own)] += own
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()     # a row per id of the vocabulary
+    rows = ids.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()     # a row per id of the vocabulary
     counts = np.zeros(size, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -160,7 +170,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
     plain, coded = f"{path}/ids", f"{path}/coded"
     tokenize(docs, vocabulary, end_id, key, text).write.option("compression", "zstd").parquet(plain)
     ids = spark.read.parquet(plain)
-    lens = lengths(count_ids(ids, width, size))
+    lens = lengths(count_ids(ids, size))
     used = np.flatnonzero(lens)
     spark.createDataFrame([(int(i), int(lens[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     shared = spark.sparkContext.broadcast((lens, canonical(lens)))        # as long as the vocabulary
@@ -176,7 +186,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(offsets, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                                              names=["key", "n", "offsets", "bits"])
 
-    ids.mapInArrow(code, "key long, n int, offsets array<long>, bits binary").write.option("compression", "none").parquet(coded)
+    ids.where("ids is not null").select("key", "ids").mapInArrow(code, "key long, n int, offsets array<long>, bits binary").write.option("compression", "none").parquet(coded)
     _delete(spark, plain)
 
     def blocks(batches):

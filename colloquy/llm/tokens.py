@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
-#: Entries of a generation of a worker's memory; when it is full, it replaces the one before.
-MEMORY = 300_000
-#: Longer cuts are not remembered.
-LONGEST = 48
+from colloquy.llm.common import Memory
+
+#: Bytes of cuts and their ids that a worker remembers. Longer cuts are not remembered.
+MEMORY, LONGEST = 192 << 20, 48
 _GAP, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
@@ -64,25 +64,6 @@ def load(path: str) -> Tokenizer:
     return made
 
 
-class _Memory(dict):
-    """Ids by string, as little-endian bytes. What is still used moves on to the next generation."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.before = make, {}
-
-    def __missing__(self, string: str) -> bytes:
-        ids = self.before.get(string)
-        if ids is None:
-            ids = self.make(string)
-        if len(string) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.before = dict(self)
-                self.clear()
-            self[string] = ids
-        return ids
-
-
 class Encoder:
     """Whole texts to ids, as the library gives them without special tokens."""
 
@@ -98,7 +79,8 @@ class Encoder:
         self.added = [t.content for t in added if not (t.special and self.tokenizer.encode_special_tokens)]
         self.table = {chr(b): c for b, c in enumerate(self.chars) if b < 128}
         self.ascii = str.maketrans(self.table)
-        self.pieces, self.cuts = _Memory(self._piece), _Memory(self._cut)
+        self.pieces, self.cuts = Memory(self._piece, MEMORY // 8, longest=LONGEST), Memory(self._cut, MEMORY, longest=LONGEST)
+        self.blank = self.chars[32]
         self.code = "H" if self.width == "<u2" else "I"
 
     def _whole(self, text: str) -> bytes:
@@ -112,9 +94,12 @@ class Encoder:
         """Ids of a cut, which is given without its leading blank."""
         if len(cut) > LONGEST:
             return self._whole(" " + cut)
+        if cut.isalpha():       # letters are one piece
+            shown = cut if cut.isascii() else "".join(map(self.chars.__getitem__, cut.encode()))
+            return array(self.code, [token.id for token in self.model.tokenize(self.blank + shown)]).tobytes()
         word = cut.rstrip(".,;:!?")
-        if word.isalpha():      # letters are one piece, and so is what follows them
-            return self.pieces[" " + word] + (self.pieces[cut[len(word):]] if len(word) < len(cut) else b"")
+        if word.isalpha():      # and so is what follows them
+            return self.cuts[word] + self.pieces[cut[len(word):]]
         return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(" " + cut)))
 
     def __call__(self, text: str) -> bytes:
@@ -122,7 +107,8 @@ class Encoder:
         if any(token in text for token in self.added):
             return self._whole(text)
         first, *cuts = text.split(" ") if _ODD.search(text) is None else _GAP.split(text)
-        return self._whole(first) + b"".join(map(self.cuts.__getitem__, cuts))
+        start = self._whole(first) if len(first) > LONGEST else b"".join(map(self.pieces.__getitem__, self.PIECES.findall(first)))
+        return start + b"".join(map(self.cuts.__getitem__, cuts))
 
 
 @lru_cache(maxsize=4)
