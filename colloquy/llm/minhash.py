@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import components, maybe_broadcast, roots
+from colloquy.llm.common import Memory, components, maybe_broadcast, roots
 from colloquy.plans.store import materialise
 
 #: Words of a shingle, and values a sketch retains.
@@ -30,21 +30,13 @@ WORDS, RETAINED = 5, 64
 MARGIN = 35
 #: Larger families are compared in blocks of so many classes.
 BLOCK = 1024
-#: Words whose hashes a worker remembers.
-MEMORY = 1_000_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Bytes of words and hashes that a worker remembers.
+MEMORY = 48 << 20
 
 
 @lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
+def _hashes() -> Memory:
+    return Memory(xxhash.xxh3_64_intdigest, MEMORY, 170)
 
 
 def shingles(text: str | None) -> np.ndarray:

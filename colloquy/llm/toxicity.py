@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import Memory
+
 #: Labelled rows that a model is fitted on, about; more are thinned out by a hash.
 SAMPLE = 24_000
 #: Hash space of terms, and the terms a model keeps: those most telling of the label.
@@ -26,24 +29,20 @@ BUCKETS, TERMS = 1 << 20, 8192
 FACTORS = 8
 #: Beginnings of longer words that are terms too.
 BEGINNINGS = (4, 5)
-MEMORY = 500_000
+#: Bytes of words and buckets that a worker remembers.
+MEMORY = 32 << 20
 _WORD = re.compile(r"\w+")
 
 
-class _Terms(dict):
+def _buckets(word: str) -> tuple[int, ...]:
     """Buckets of a word: its own and those of its beginnings."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMORY:
-            self.clear()
-        names = [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
-        found = self[word] = tuple(zlib.crc32(n.encode()) % BUCKETS for n in names)
-        return found
+    names = [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n)]
+    return tuple(zlib.crc32(n.encode()) % BUCKETS for n in names)
 
 
 @lru_cache(maxsize=1)
-def _terms() -> _Terms:
-    return _Terms()
+def _terms() -> Memory:
+    return Memory(_buckets, MEMORY, 250)
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -172,24 +171,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with a column of scores of whole texts; null and empty texts score by the bias alone. A column of that name is replaced."""
+    """``docs`` with a column of scores of whole texts; null and empty texts score by the bias alone. A column of that name is replaced.
+
+    Only the texts go through Python.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)      # bounded by the terms a model keeps
-    kept = [c for c in docs.columns if c != column]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(column, "double")
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         at = model.index()
         for batch in batches:
             out = []
-            for value in batch.column(where):
+            for value in batch:
                 rows = at[terms(value.as_py())]
                 out.append(model.score(rows[rows >= 0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(out, pa.float64())], names=[*kept, column])
+            yield pa.array(out, pa.float64())
 
-    where = kept.index(text) if text in kept else len(kept)
-    more = [] if text in kept else [F.col(f"`{text}`").alias("text__")]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], *more).mapInArrow(run, schema)
+    return docs.withColumn(column, scored(F.col(f"`{text}`")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
