@@ -22,9 +22,10 @@ SIMILAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score stays below ``TOXIC``; null and empty texts stay."""
+    """Rows whose toxicity score stays below ``TOXIC``; null and blank texts stay."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine, column="toxicity__").where(F.col("toxicity__") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = (F.col("toxicity__") < TOXIC) | (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
+    return toxicity.score(docs, machine, column="toxicity__").where(clean).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
