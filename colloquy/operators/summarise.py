@@ -18,6 +18,8 @@ from colloquy.plans.store import materialise
 KEYS = ["recording_id"]
 DAMPING, ROUNDS = 0.85, 40
 ABSOLUTE, RELATIVE = 1e-9, 1e-5
+#: Decimal digits of a score that are given.
+DIGITS = 10
 REDUNDANCY = 0.62
 #: Recordings up to this many weighted words are ranked inside one task.
 TASK_WORDS = 200_000
@@ -102,7 +104,8 @@ def _rank_many(rows: DataFrame) -> DataFrame:
 def textrank(sentences: DataFrame, weighted: DataFrame, task_words: int = TASK_WORDS) -> DataFrame:
     """How much of its recording each sentence speaks for: ``recording_id, sent_no, score``.
 
-    Recordings that fit a task are ranked there; the others by joins over the cluster.
+    Recordings that fit a task are ranked there; the others by joins over the cluster, with the same sums in another order:
+    scores are given to ten digits, so that what follows (ties go by place) does not depend on that order.
     """
     all_ = sentences.select("recording_id", "sent_no")
     rows = all_.join(tm.coded(weighted).select("recording_id", "sent_no", "term", "w"), ["recording_id", "sent_no"], "left")
@@ -110,9 +113,10 @@ def textrank(sentences: DataFrame, weighted: DataFrame, task_words: int = TASK_W
     size = weighted.select("recording_id").unionByName(all_.select("recording_id")).groupBy("recording_id").agg(F.count("*").alias("_rows"))
     big = materialise(size.where(F.col("_rows") > task_words).select("recording_id"))
     if big.isEmpty():
-        return rows.groupBy("recording_id").applyInArrow(_rank_one, out)
+        return rows.groupBy("recording_id").applyInArrow(_rank_one, out).withColumn("score", F.round("score", DIGITS))
     small = rows.join(big, "recording_id", "left_anti").groupBy("recording_id").applyInArrow(_rank_one, out)
-    return small.unionByName(_rank_many(materialise(rows.join(big, "recording_id", "left_semi"))))
+    ranked = small.unionByName(_rank_many(materialise(rows.join(big, "recording_id", "left_semi"))))
+    return ranked.withColumn("score", F.round("score", DIGITS))
 
 
 def how_many(n: Column, length: str = "medium") -> Column:
@@ -122,8 +126,8 @@ def how_many(n: Column, length: str = "medium") -> Column:
     return F.when(n <= fewest, n).otherwise(scaled).cast("long")
 
 
-def _choose(redundancy: float):
-    """Among a recording's best candidates, those unlike every one chosen before."""
+def _choose(redundancy: float, most: int):
+    """Among a recording's best candidates, those unlike every one chosen before; if they ran out, a last row says where to go on."""
     def choose(rows: pa.Table) -> pa.Table:
         ids, first, place = np.unique(rows["sent_no"].to_numpy(), return_index=True, return_inverse=True)
         score, held = rows["score"].to_numpy()[first], rows["held"].to_numpy()[first]
@@ -142,50 +146,59 @@ def _choose(redundancy: float):
             if near[i] < redundancy:
                 near, chosen = np.maximum(near, m @ m[i]), chosen + 1
                 new.append(i)
-        at = np.array(new, dtype=np.int64)
+        last = [order[-1]] if chosen < room and len(ids) - int(held.sum()) == most else []
+        at = np.array(new + last, dtype=np.int64)
         return pa.table({"recording_id": rows["recording_id"].combine_chunks().take(pa.array(first[at])),
-                         "sent_no": ids[at], "score": score[at]})
+                         "sent_no": ids[at], "score": score[at], "more": np.arange(len(at)) >= len(new)})
     return choose
 
 
+def _next_best(rows: DataFrame, cursor: DataFrame | None, most: int) -> DataFrame:
+    """The best ``most`` rows of each recording below its place in ``cursor(recording_id, _low)``; of all recordings without one.
+
+    Tasks keep that many rows of a recording before anything is shuffled, and the rows themselves are never written again.
+    """
+    best = Window.partitionBy("recording_id").orderBy(F.desc("score"), F.desc("sent_no"))
+    left = rows if cursor is None else rows.join(cursor, "recording_id").where(F.struct("score", "sent_no") < F.col("_low"))
+    return left.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).drop("_r", *([] if cursor is None else ["_low"]))
+
+
 def select_diverse(scores: DataFrame, weighted: DataFrame, k: DataFrame, redundancy: float = REDUNDANCY) -> DataFrame:
     """The ``k`` best sentences of each recording, none like one already chosen.
 
-    ``k(recording_id, k)``. The best ``BATCH`` are settled together; a recording still short
-    of its ``k`` goes on with its next ones.
+    ``k(recording_id, k)``. The best ``BATCH`` are settled together; a recording still short of its ``k`` goes on below them,
+    with twice as many each time, while the others are done.
     """
-    out = T.StructType([scores.schema["recording_id"], *_SCORES])
     here = ["recording_id", "sent_no"]
+    out = T.StructType([scores.schema["recording_id"], *_SCORES, T.StructField("more", T.BooleanType())])
     w = tm.coded(weighted).select(*here, "term", "w")
-    best = Window.partitionBy("recording_id").orderBy(F.desc("score"), F.desc("sent_no"))
-    waiting, chosen = scores.select("recording_id", "sent_no", "score"), None
+    rows, most, chosen, cursor = scores.select(*here, "score"), BATCH, None, None
     while True:
-        batch = materialise(waiting.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= BATCH).drop("_r"))
-        pool = batch.withColumn("held", F.lit(False))
+        pool = _next_best(rows, cursor, most).withColumn("held", F.lit(False))
         if chosen is not None:
-            pool = pool.unionByName(chosen.join(batch.select("recording_id").distinct(), "recording_id", "left_semi")
-                                    .withColumn("held", F.lit(True)))
-        new = (pool.join(k, "recording_id").join(w, here, "left")
-               .groupBy("recording_id").applyInArrow(_choose(redundancy), out))
-        chosen = materialise(new if chosen is None else chosen.unionByName(new))
-        seen = batch.groupBy("recording_id").agg(F.min(F.struct("score", "sent_no")).alias("_low"), F.count("*").alias("_c"))
-        short = (k.join(chosen.groupBy("recording_id").agg(F.count("*").alias("_have")), "recording_id", "left")
-                 .where(F.coalesce("_have", F.lit(0)) < F.col("k")).join(seen.where(F.col("_c") == BATCH), "recording_id")
-                 .select("recording_id", "_low"))
-        waiting = materialise(waiting.join(short, "recording_id")
-                              .where(F.struct("score", "sent_no") < F.col("_low")).drop("_low"))
-        if waiting.isEmpty():
+            pool = pool.unionByName(chosen.join(cursor.select("recording_id"), "recording_id", "left_semi").withColumn("held", F.lit(True)))
+        step = materialise(pool.join(k, "recording_id").join(w, here, "left").groupBy("recording_id").applyInArrow(_choose(redundancy, most), out))
+        new = step.where("not more").select(*here, "score")
+        chosen = new if chosen is None else chosen.unionByName(new)
+        # The last row of a recording that is short of sentences is where it goes on.
+        cursor = materialise(step.where("more").select("recording_id", F.struct("score", "sent_no").alias("_low")))
+        if cursor.isEmpty():
             return chosen
+        most *= 2
 
 
-def _spend(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Take, best first, every sentence that still fits what is left."""
-    pdf = pdf.sort_values(["score", "sent_no"], ascending=False, kind="stable")
-    left, kept = int(pdf["left"].iloc[0]), []
-    for cost in pdf["cost"]:
-        kept.append(cost <= left and left > 0)
-        left -= cost if kept[-1] else 0
-    return pdf.assign(kept=kept, left=left)[["recording_id", "sent_no", "score", "cost", "kept", "left"]]
+def _spend(most: int):
+    def spend(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Take, best first, every sentence that still fits what is left; a last row says where to go on."""
+        pdf = pdf.sort_values(["score", "sent_no"], ascending=False, kind="stable")
+        left, kept = int(pdf["left"].iloc[0]), []
+        for cost in pdf["cost"]:
+            kept.append(cost <= left and left > 0)
+            left -= cost if kept[-1] else 0
+        taken = pdf[kept].assign(more=False)
+        out = [taken, pdf.tail(1).assign(more=True)] if len(pdf) == most and left > 0 else [taken]
+        return pd.concat(out).assign(left=left)[["recording_id", "sent_no", "score", "more", "left"]]
+    return spend
 
 
 def reduce_to_budget(sentences: DataFrame, scores: DataFrame, budget: DataFrame, language: Column | str | None = None) -> DataFrame:
@@ -195,24 +208,21 @@ def reduce_to_budget(sentences: DataFrame, scores: DataFrame, budget: DataFrame,
     """
     here = ["recording_id", "sent_no"]
     cost = tx.estimate_tokens(F.col("text"), language)
-    costed = materialise(sentences.withColumn("cost", cost).join(budget, "recording_id"))
-    total = costed.groupBy("recording_id").agg(F.sum("cost").alias("_total"), F.first("budget").alias("_budget"))
+    costed = sentences.select(*here, cost.alias("cost")).join(budget, "recording_id")
+    total = materialise(costed.groupBy("recording_id").agg(F.sum("cost").alias("_total"), F.first("budget").alias("_budget")))
     over = total.where((F.col("_total") > F.col("_budget")) & (F.col("_budget") > 0)).select("recording_id", F.col("_budget").alias("left"))
     whole = costed.join(over, "recording_id", "left_anti").select(*here)
-    best = Window.partitionBy("recording_id").orderBy(F.desc("score"), F.desc("sent_no"))
-    waiting = materialise(costed.select(*here, "cost").join(over, "recording_id").where("cost <= left")
-                          .join(scores.select(*here, "score"), here))
-    out = T.StructType([waiting.schema[c] for c in ("recording_id", "sent_no", "score", "cost")]
-                       + [T.StructField("kept", T.BooleanType()), T.StructField("left", T.LongType())])
-    kept = whole
-    while not waiting.isEmpty():
-        batch = waiting.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= BATCH).drop("_r")
-        done = materialise(batch.groupBy("recording_id").applyInPandas(_spend, out))
-        kept = kept.unionByName(done.where("kept").select(*here))
-        after = done.groupBy("recording_id").agg(F.min("left").alias("left"), F.min(F.struct("score", "sent_no")).alias("_low"))
-        waiting = materialise(waiting.drop("left").join(after, "recording_id").where(
-            (F.struct("score", "sent_no") < F.col("_low")) & (F.col("cost") <= F.col("left")) & (F.col("left") > 0)).drop("_low"))
-    return sentences.join(kept, here, "left_semi")
+    rows = materialise(costed.drop("budget").join(over, "recording_id").where("cost <= left").drop("left").join(scores.select(*here, "score"), here))
+    out = T.StructType([*(rows.schema[c] for c in ("recording_id", "sent_no", "score")), T.StructField("more", T.BooleanType()), T.StructField("left", T.LongType())])
+    kept, left, cursor, most = whole, over, None, BATCH
+    while True:
+        batch = _next_best(rows.join(left, "recording_id").where("cost <= left"), cursor, most)
+        done = materialise(batch.groupBy("recording_id").applyInPandas(_spend(most), out))
+        kept = kept.unionByName(done.where("not more").select(*here))
+        after = materialise(done.where("more").select("recording_id", "left", F.struct("score", "sent_no").alias("_low")))
+        if after.isEmpty():
+            return sentences.join(kept, here, "left_semi")
+        left, cursor, most = after.select("recording_id", "left"), after.select("recording_id", "_low"), 2 * most
 
 
 def extractive_summary(sentences: DataFrame, language: Column | str | None = None, length: str = "medium") -> DataFrame:

@@ -100,18 +100,64 @@ def _(spark, sf):
     return p.select("recording_id", F.col("a.sent_no").alias("a"), F.col("b.sent_no").alias("b"), F.round("sim", 6).alias("sim"))
 
 
-@query("textrank")
+def _walk_sql(rounds=su.ROUNDS):
+    """CTEs ending in ``ranked(recording_id, n, score)``: the walk's rounds one after the other; a recording at rest stays as it is."""
+    steps = [""",
+ lone as (select recording_id, term, count(*) as c, sum(w) as t from weights group by all),
+ s0 as materialized (select recording_id, n, size, 1.0/size as score, coalesce(total,0) as total, size>1 as going from (select recording_id, n, count(*) over (partition by recording_id) as size from sents)
+   left join (select recording_id, n, sum(case when c=1 then 0 else w*(t-w) end) as total from weights join lone using (recording_id, term) group by all) using (recording_id, n))"""]
+    for i in range(rounds):
+        steps.append(f""",
+ z{i} as materialized (select recording_id, n, term, w, w*(case when total<=0 then 0 else score/total end) as wz from weights join s{i} using (recording_id, n) where going),
+ o{i} as (select recording_id, n, sum(case when c=1 then 0 else w*(t-wz) end) as o from z{i} join (select recording_id, term, sum(wz) as t, count(*) as c from z{i} group by all) using (recording_id, term) group by all),
+ m{i} as (select recording_id, sum(case when total<=0 then score else 0 end) as mass from s{i} where going group by all),
+ n{i} as (select s{i}.*, 0.15/size+0.85*(coalesce(o,0)+mass/size) as fresh from s{i} left join o{i} using (recording_id, n) left join m{i} using (recording_id)),
+ s{i + 1} as materialized (select recording_id, n, size, case when going then fresh else score end as score, total,
+   going and max(abs(fresh-score)>1e-9+1e-5*abs(score)) over (partition by recording_id) as going from n{i})""")
+    return "".join(steps) + f""",
+ ranked as (select recording_id, n, round(score, 10) as score from s{rounds})"""
+
+
+_WALK = "with recursive " + sql("prose", WEIGHTS + _walk_sql())[len("with "):].lstrip()
+_ORDERED = """,
+ placed as (select recording_id, n, row_number() over (partition by recording_id order by score desc, n desc) as at_, count(*) over (partition by recording_id) as size from ranked)"""
+
+
+@query("textrank", _WALK + " select recording_id, n as sent_no, round(score, 6) as score from ranked")
 def _(spark, sf):
     return su.textrank(sentences(spark, sf), weighted(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query("select_diverse")
+_DIVERSE = _WALK + _ORDERED + """,
+ near as (select x.recording_id, x.n as a, list(y.n) as rivals from (
+    select x.recording_id, x.n, y.n as m from weights x join weights y on x.recording_id=y.recording_id and x.term=y.term and x.n<>y.n group by all having sum(x.w*y.w)>=0.62) x
+    join placed y on x.recording_id=y.recording_id and x.m=y.n group by all),
+ room as (select distinct recording_id, case when size<=5 then size else greatest(5, least(15, round_even(size*0.10, 0))) end::BIGINT as k from placed),
+ pick(recording_id, at_, chosen) as (
+  select recording_id, 0::BIGINT, []::BIGINT[] from room
+  union all
+  select pick.recording_id, placed.at_, case when list_has_any(chosen, coalesce(rivals, []::BIGINT[])) then chosen else list_append(chosen, placed.n::BIGINT) end
+  from pick join room using (recording_id) join placed on placed.recording_id=pick.recording_id and placed.at_=pick.at_+1
+   left join near on near.recording_id=placed.recording_id and near.a=placed.n where len(chosen)<k),
+ diverse as (select recording_id, unnest(arg_max(chosen, at_)) as sent_no from pick group by recording_id)"""
+
+
+@query("select_diverse", _DIVERSE + " select recording_id, sent_no from diverse")
 def _(spark, sf):
     k = ranked(spark, sf).groupBy("recording_id").agg(su.how_many(F.count("*")).alias("k"))
     return su.select_diverse(ranked(spark, sf), weighted(spark, sf), k).select("recording_id", "sent_no")
 
 
-@query("reduce_to_budget")
+@query("reduce_to_budget", _WALK + _ORDERED + """,
+ costed as (select p.*, floor(length(text)/case when coalesce(language,'')='' or regexp_extract(lower(trim(language)),'^([^_-]*)',1)='it' then 2.8 else 4.4 end)::BIGINT as cost
+   from placed p join sents using (recording_id, n)),
+ all_ as (select recording_id, sum(cost) as total from costed group by all),
+ take(recording_id, at_, remaining, n, kept) as (
+  select recording_id, 0::BIGINT, 400::BIGINT, -1::BIGINT, false from all_ where total>400
+  union all
+  select take.recording_id, c.at_, take.remaining-case when c.cost<=take.remaining and take.remaining>0 then c.cost else 0 end, c.n::BIGINT, c.cost<=take.remaining and take.remaining>0
+  from take join costed c on c.recording_id=take.recording_id and c.at_=take.at_+1)
+ select recording_id, n as sent_no from take where kept union all select recording_id, n from costed join all_ using (recording_id) where total<=400""")
 def _(spark, sf):
     budget = fx.prose(spark, sf).select("recording_id", F.lit(400).cast("long").alias("budget"))
     return su.reduce_to_budget(sentences(spark, sf), ranked(spark, sf), budget, LANG).select("recording_id", "sent_no")
