@@ -187,6 +187,29 @@ def upsert_metadata(entries: DataFrame, patches: DataFrame) -> DataFrame:
     return j.select(*cols)
 
 
+#: What a new transcription of a recording takes away: it speaks of a run that is no longer there.
+RUN_FIELDS = ("reference", "subtitles", "speaker_names")
+
+
+def refile(entries: DataFrame, runs: DataFrame, run_fields: tuple[str, ...] = RUN_FIELDS) -> DataFrame:
+    """Entries whose recording was transcribed again: what the run says is taken from ``runs``, its stale fields go, the rest stays.
+
+    ``runs`` share columns of ``entries`` by ``entry_id``; of the fields of a run those that ``runs`` does not give are null afterwards, and
+    what a person added (title, notes, where it is filed) is kept. A run of an entry that is not there changes nothing.
+    """
+    again = runs.select("entry_id").distinct().withColumn("_again", F.lit(True))
+    kept = entries.join(again, "entry_id", "left")
+    stale = {c: F.when(F.col("_again"), F.lit(None)).otherwise(F.col(c)) for c in run_fields if c in entries.columns}
+    cleared = kept.withColumns(stale).drop("_again") if stale else kept.drop("_again")
+    return upsert_metadata(cleared, runs.join(entries.select("entry_id"), "entry_id", "left_semi")).select(*entries.columns)
+
+
+def stale_subtitles(stored: DataFrame, written: DataFrame) -> DataFrame:
+    """``entry_id, preset`` of subtitle files that a new run did not write and that have to go. Entries without a new run keep theirs."""
+    again = written.select("entry_id").distinct()
+    return stored.join(again, "entry_id", "left_semi").join(written, ["entry_id", "preset"], "left_anti").select("entry_id", "preset").distinct()
+
+
 def current_summaries(versions: DataFrame) -> DataFrame:
     """Every summary ever written, the newest of each recording first: ``version`` 0 is current."""
     nth = F.row_number().over(Window.partitionBy("recording_id").orderBy(F.desc("written_at"), F.desc("summary")))

@@ -123,6 +123,18 @@ def paragraphs_from_prose(sentences: DataFrame, per: int = 5) -> DataFrame:
         _texts("text", ["sent_no"]).alias("text"))
 
 
+def paragraphs_of_text(prose: DataFrame, per: int = 5) -> DataFrame:
+    """Texts without times: cut after every mark that ends a sentence (abbreviations too), ``per`` sentences a paragraph.
+
+    ``prose(recording_id, text)``; a text without words has no paragraph.
+    """
+    ends = F.split(F.regexp_replace(tx.clean_text(F.coalesce("text", F.lit(""))), r"([.!?…])\s+", "$1\x1f"), "\x1f")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / per).cast("int")),
+                       lambda i: F.trim(F.array_join(F.slice("_s", i * per + 1, F.lit(per)), " ")))
+    p = prose.select("recording_id", ends.alias("_s")).select("recording_id", F.posexplode(runs).alias("para_no", "text"))
+    return p.where("text <> ''").withColumn("para_no", F.col("para_no").cast("long"))
+
+
 def dialogue(segments: DataFrame) -> DataFrame:
     """Consecutive segments of one speaker as one turn: ``[speaker] text``, a row per turn of any length.
 

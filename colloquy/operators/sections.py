@@ -321,6 +321,13 @@ def line_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _letters_in_common(a: Column, b: Column) -> Column:
+    """Letters that two texts share, each as often as both have it: at least what any alignment of them can match."""
+    def times(c, x):
+        return F.length(c) - F.length(F.replace(c, x, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(times(a, x), times(b, x))))
+
+
 def review_findings(answers: DataFrame, written: DataFrame, language: Column | str | None = None) -> DataFrame:
     """What a model reading the page back found, as far as it can be believed.
 
@@ -338,8 +345,12 @@ def review_findings(answers: DataFrame, written: DataFrame, language: Column | s
     met = said.join(lines.where("_p <> ''"), key)
     within = F.contains("_p", F.col("_q"))
     wrapped = F.contains("_q", F.col("_p")) & (F.length("_p") >= 0.6 * F.length("_q"))
-    met = met.withColumn("_like", line_likeness("_q", "_p"))
-    met = met.withColumn("_like", F.when(within, 2.0).when(wrapped, 1.0).otherwise(F.col("_like"))).where(F.col("_like") >= QUOTED)
+    told = met.withColumn("_like", F.when(within, 2.0).when(wrapped, 1.0))
+    # Twice the letters in common over all letters: too few where the lengths differ much, or where few letters are the same.
+    both = F.length("_q") + F.length("_p")
+    able = (F.least(F.length("_q"), F.length("_p")) * 2 >= QUOTED * both) & (_letters_in_common(F.col("_q"), F.col("_p")) * 2 >= QUOTED * both)
+    rest = told.where(F.col("_like").isNull() & able).withColumn("_like", line_likeness("_q", "_p")).where(F.col("_like") >= QUOTED)
+    met = told.where("_like is not null").unionByName(rest)
     first = met.groupBy(*key, "_f", "kind", "quoted").agg(F.max_by(F.struct("line_no", "line", "_like"), F.struct("_like", -F.col("line_no"))).alias("m"))
     own = F.btrim(F.regexp_replace("quoted", _MARKER, ""), F.lit(" \t\"'«»“”*"))
     f = first.select(*key, "kind", F.col("m.line_no").alias("line_no"), F.when(F.col("m._like") == 2.0, own).otherwise(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,20 +39,41 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "colloquy")
     return spark
 
 
+#: Temporary folders of local sessions that name none, by application; and the folders written since each open ``scratch``.
+_OWN: dict[str, str] = {}
+_WRITTEN: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. A local session that names none gets a temporary one; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: one lineage cut."""
     path = f"{shared_dir(df.sparkSession)}/colloquy-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is removed at the end, so that a job leaves nothing behind. Results have to be written inside."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

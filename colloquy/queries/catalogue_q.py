@@ -141,6 +141,16 @@ def _(spark, sf):
     return out.select(E, "title", "source.filename", "source.sha256", "transcription.language", "transcription.model")
 
 
+@query("refile", sql("entries", """ select entry_id, title, language, case when doc_id%3=0 then 'second run' else model end as model,
+ case when doc_id%3=0 then null else name end as reference, case when doc_id%3=0 and doc_id%2=1 then null when doc_id%3=0 then 'kept by the run' else sha256 end as speaker_names from entries"""))
+def _(spark, sf):
+    e = fx.entries(spark, sf)
+    filed = e.select(E, "title", "language", "model", F.col("name").alias("reference"), F.col("sha256").alias("speaker_names"))
+    d = F.col("doc_id")
+    runs = e.where("doc_id % 3 = 0").select(E, F.lit("second run").alias("model"), F.when(d % 2 == 0, "kept by the run").alias("speaker_names"))
+    return ca.refile(filed, runs.unionByName(runs.limit(1).withColumn(E, F.lit("of no entry"))))
+
+
 @query("version_summaries", """with v as (select user_id as recording_id, ts::TIMESTAMP as written_at, event_type as summary from events)
  select recording_id, summary, row_number() over (partition by recording_id order by written_at desc, summary desc)-1 as version,
  row_number() over (partition by recording_id order by written_at desc, summary desc)=1 as current from v""")

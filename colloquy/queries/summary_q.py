@@ -10,6 +10,7 @@ from colloquy.operators import layout as lo
 from colloquy.operators import metrics as me
 from colloquy.operators import summarise as su
 from colloquy.operators import terms as tm
+from colloquy.queries.layout_q import _CLEAN
 from colloquy.queries.sentences_sql import SENTENCES
 
 LANG = "language"
@@ -66,6 +67,14 @@ def _(spark, sf):
     return lo.paragraphs_from_prose(sentences(spark, sf))
 
 
+@query("paragraphs_of_text", sql("prose", f""",
+ flat as (select recording_id, string_split(regexp_replace({_CLEAN.format("coalesce(text,'')")},'([.!?…])\\s+','\\1'||chr(31),'g'),chr(31)) as s from prose),
+ cut as (select recording_id, unnest(s) as t, generate_subscripts(s,1)-1 as n from flat)
+ select recording_id, (n//5)::BIGINT as para_no, trim(string_agg(t,' ' order by n)) as text from cut group by recording_id, n//5 having trim(string_agg(t,' ' order by n))<>''"""))
+def _(spark, sf):
+    return lo.paragraphs_of_text(fx.prose(spark, sf))
+
+
 @query("content_terms", sql("prose", PROSE + ",\n" + terms_sql("sents") + """
  select recording_id, term, count(*) as uses from terms group by all"""))
 def _(spark, sf):
@@ -163,7 +172,20 @@ def _(spark, sf):
     return su.reduce_to_budget(sentences(spark, sf), ranked(spark, sf), budget, LANG).select("recording_id", "sent_no")
 
 
-@query("evidence_extract")
+_TAKE = _ORDERED + """,
+ costed as (select p.*, text, floor(length(text)/case when coalesce(language,'')='' or regexp_extract(lower(trim(language)),'^([^_-]*)',1)='it' then 2.8 else 4.4 end)::BIGINT as cost
+   from placed p join sents using (recording_id, n)),
+ all_ as (select recording_id, sum(cost) as total from costed group by all),
+ take(recording_id, at_, remaining, n, kept) as (
+  select recording_id, 0::BIGINT, 200::BIGINT, -1::BIGINT, false from all_ where total>200
+  union all
+  select take.recording_id, c.at_, take.remaining-case when c.cost<=take.remaining and take.remaining>0 then c.cost else 0 end, c.n::BIGINT, c.cost<=take.remaining and take.remaining>0
+  from take join costed c on c.recording_id=take.recording_id and c.at_=take.at_+1)"""
+
+
+@query("evidence_extract", _WALK + _TAKE + """
+ select recording_id, n as sent_no, text as line from costed where (recording_id, n) in (
+  select (recording_id, n) from take where kept union all select (recording_id, n) from costed join all_ using (recording_id) where total<=200)""")
 def _(spark, sf):
     """The best 200 tokens of every recording, laid out as a prompt."""
     budget = fx.prose(spark, sf).select("recording_id", F.lit(200).cast("long").alias("budget"))
@@ -172,7 +194,13 @@ def _(spark, sf):
     return lo.prompt_text(kept.withColumns({"start_ms": none.cast("long"), "speaker": none.cast("string")}), "sent_no")
 
 
-@query("extractive_summary")
+@query("extractive_summary", _DIVERSE + """,
+ ex as (select d.recording_id, sent_no, row_number() over (partition by d.recording_id order by score desc, sent_no) as r, count(*) over (partition by d.recording_id) as c
+   from diverse d join ranked on ranked.recording_id=d.recording_id and ranked.n=sent_no),
+ kw as (select recording_id, list(term order by rank) as keywords from (
+   select recording_id, term, weight, row_number() over (partition by recording_id order by weight desc, term) as rank from (select recording_id, term, round(sum(w),6) as weight from weights group by all) where weight>0 qualify rank<=10) group by all)
+ select recording_id, string_agg(text, ' ' order by sent_no) filter (where r<=greatest(1,least(3,c//3))) as abstract, count(*) filter (where r>greatest(1,least(3,c//3)))::INT as points, any_value(keywords) as keywords
+ from ex join sents on sents.recording_id=ex.recording_id and sents.n=sent_no left join kw on kw.recording_id=ex.recording_id group by ex.recording_id""".replace("select recording_id, string_agg", "select ex.recording_id, string_agg"))
 def _(spark, sf):
     s = su.extractive_summary(sentences(spark, sf), LANG)
     return s.select("recording_id", "abstract", F.size("points").alias("points"), "keywords")
