@@ -302,6 +302,7 @@ class _Voices(StatefulProcessor):
         self.last = handle.getValueState("last", "speaker string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._forget(timerValues)
         voices = {k[0]: np.array(v[0]) for k, v in self.sums.iterator()}
         last = self.last.get()[0] if self.last.exists() else None
         out = []
@@ -333,10 +334,13 @@ class _Voices(StatefulProcessor):
         yield pd.DataFrame(out, columns=["recording_id", "seg_no", "speaker"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.until.exists() and self.until.get()[0] <= timerValues.getCurrentWatermarkInMs() * 1000:
+        self._forget(timerValues)
+        return iter(())
+
+    def _forget(self, timerValues) -> None:
+        if self.forget_us is not None and self.until.exists() and self.until.get()[0] <= timerValues.getCurrentWatermarkInMs() * 1000:
             for state in (self.sums, self.last, self.until):
                 state.clear()
-        return iter(())
 
     def close(self) -> None:
         pass

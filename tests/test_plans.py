@@ -1,5 +1,6 @@
 """Blocked windows and folds give what a plain pass over the whole key gives."""
 
+import os
 import random
 
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.plans import folds, ordered
+from colloquy.plans import folds, ordered, store
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,26 @@ def test_no_block_exceeds_its_rows(spark):
 
     sizes = [r["size"] for r in folds.fold_blocks(df, ["recording_id"], "n", fold, out, [0.0], block_rows=64).collect()]
     assert max(sizes) == 64 and sum(sizes) == 1000
+
+
+def test_a_job_leaves_no_folder(spark):
+    with store.scratch(spark):
+        df = store.materialise(spark.range(5))
+        path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").removeprefix("//")
+        assert os.path.isdir(path) and df.count() == 5
+    assert not os.path.exists(path)
+
+
+def test_a_local_session_without_a_folder_gets_one():
+    """Nothing is set in the session, which would refuse it; every call gives the same folder."""
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return "local[2]" if name == "spark.master" else default
+
+        class sparkContext:
+            applicationId = "local-test"
+
+    one = store.shared_dir(Session)
+    assert os.path.isdir(one) and store.shared_dir(Session) == one
