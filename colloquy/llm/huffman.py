@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from colloquy.plans.store import shared_dir
 
 #: Longest code in bits: the decoder's table has two to this power entries.
 LONGEST = 18
+#: Ids that are coded at a time, about.
+CODED = 1 << 21
 #: Ids between checkpoints, and ids after which a block is closed.
 STRIDE, BLOCK = 256, 1 << 18
 
@@ -66,16 +69,32 @@ def canonical(lens: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Bits of ``ids`` in whole big-endian 32-bit words, and the bit offset of every ``STRIDE``-th id."""
+    data, _, at, _ = pack_many(ids, np.array([len(ids)]), lens, codes)
+    return data, at
+
+
+def pack_many(ids: np.ndarray, sizes: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of documents of ``sizes`` ids one behind the other, each in whole big-endian 32-bit words of its own.
+
+    Gives the words, how many each document has, the bit offset of every ``STRIDE``-th id within its document, and how many offsets each has.
+    """
+    marks = -(-sizes // STRIDE)
     if not len(ids):
-        return b"", np.zeros(0, np.int64)
+        return b"", np.zeros(len(sizes), np.int64), np.zeros(0, np.int64), marks
     size = lens[ids]
-    ends = np.cumsum(size)
-    starts = ends - size
+    ends = np.concatenate([[0], np.cumsum(size)])
+    last = np.cumsum(sizes)
+    first = last - sizes
+    n = (ends[last] - ends[first] + 31) >> 5                # words of each document
+    own = ends[first]                                       # where its bits would start without padding
+    starts = ends[:-1] - np.repeat(own, sizes)
+    base = np.cumsum(n) - n
     wide = codes[ids] << (64 - size - (starts & 31)).astype(np.uint64)
-    word, n = starts >> 5, (int(ends[-1]) + 31 >> 5) + 1
+    word, total = (starts >> 5) + np.repeat(base, sizes), int(n.sum())
     # Every word holds the first bits of some id, and at most the last bits of one more; no two overlap.
-    words = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1)[:n]
-    return words[:-1].astype(np.int64).astype(">u4").tobytes(), starts[::STRIDE]
+    words = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), total) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), total + 1)[:total]
+    step = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
+    return words.astype(np.int64).astype(">u4").tobytes(), n, starts[np.repeat(first, marks) + step * STRIDE], marks
 
 
 def decode_table(lens: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -123,6 +142,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _ends(sizes: np.ndarray) -> pa.Array:
+    """Offsets of an Arrow list or binary column of these sizes."""
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key long, ids binary, counts binary)``: little-endian ids of every whole text (null: empty), then ``end_id``.
 
@@ -178,13 +202,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
     def code(batches):
         lens, codes = shared.value
         for batch in batches:
-            bits, offsets, n = [], [], []
-            for part in batch.column(1):
-                own = np.frombuffer(part.as_py(), width).astype(np.int64)
-                data, at = pack(own, lens, codes)
-                bits.append(data), offsets.append(at.tolist()), n.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(offsets, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                                             names=["key", "n", "offsets", "bits"])
+            held = batch.column(1)
+            sizes = pc.binary_length(held).to_numpy().astype(np.int64) // np.dtype(width).itemsize
+            # Some millions of ids at a time, whole documents.
+            part = np.cumsum(sizes) // CODED
+            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                own = np.frombuffer(b"".join(held.slice(lo, hi - lo).to_pylist()), width).astype(np.int64)
+                data, n, at, marks = pack_many(own, sizes[lo:hi], lens, codes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes[lo:hi].astype(np.int32)), pa.ListArray.from_arrays(_ends(marks), pa.array(at.astype(np.int64))),
+                     pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(_ends(4 * n).to_numpy()), pa.py_buffer(data)])],
+                    names=["key", "n", "offsets", "bits"])
 
     ids.where("ids is not null").select("key", "ids").mapInArrow(code, "key long, n int, offsets array<long>, bits binary").write.option("compression", "none").parquet(coded)
     _delete(spark, plain)

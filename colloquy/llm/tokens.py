@@ -23,8 +23,8 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
 from colloquy.llm.common import Memory
 
-#: Bytes of cuts and their ids that a worker remembers. Longer cuts are not remembered.
-MEMORY, LONGEST = 192 << 20, 48
+#: Bytes of cuts and their ids that a worker remembers, and of one of them, about. Longer cuts are not remembered.
+MEMORY, ENTRY, LONGEST = 192 << 20, 220, 48
 _GAP, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
@@ -64,6 +64,31 @@ def load(path: str) -> Tokenizer:
     return made
 
 
+class _Cuts(dict):
+    """Ids of cuts, as little-endian bytes; the entries are few enough for half of ``MEMORY``, and what is still asked for moves on."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.most, self.encoder = MEMORY // 2 // ENTRY, encoder
+        self.code, self.tokenize, self.blank = encoder.code, encoder.model.tokenize, encoder.chars[32]
+
+    def __missing__(self, cut: str) -> bytes:
+        if len(cut) > LONGEST:
+            return self.encoder.long(cut)
+        ids = self.old.get(cut)
+        if ids is None:
+            if cut.isascii() and cut.isalpha():     # letters are one piece
+                ids = array(self.code, [token.id for token in self.tokenize(self.blank + cut)]).tobytes()
+            else:
+                ids = self.encoder.cut(cut)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[cut] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids, as the library gives them without special tokens."""
 
@@ -79,9 +104,8 @@ class Encoder:
         self.added = [t.content for t in added if not (t.special and self.tokenizer.encode_special_tokens)]
         self.table = {chr(b): c for b, c in enumerate(self.chars) if b < 128}
         self.ascii = str.maketrans(self.table)
-        self.pieces, self.cuts = Memory(self._piece, MEMORY // 8, longest=LONGEST), Memory(self._cut, MEMORY, longest=LONGEST)
-        self.blank = self.chars[32]
         self.code = "H" if self.width == "<u2" else "I"
+        self.pieces, self.cuts = Memory(self._piece, MEMORY // 8, longest=LONGEST), _Cuts(self)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
@@ -90,15 +114,15 @@ class Encoder:
         shown = piece.translate(self.ascii) if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
         return array(self.code, [token.id for token in self.model.tokenize(shown)]).tobytes()
 
-    def _cut(self, cut: str) -> bytes:
+    def long(self, cut: str) -> bytes:
+        return self._whole(" " + cut)
+
+    def cut(self, cut: str) -> bytes:
         """Ids of a cut, which is given without its leading blank."""
-        if len(cut) > LONGEST:
-            return self._whole(" " + cut)
-        if cut.isalpha():       # letters are one piece
-            shown = cut if cut.isascii() else "".join(map(self.chars.__getitem__, cut.encode()))
-            return array(self.code, [token.id for token in self.model.tokenize(self.blank + shown)]).tobytes()
+        if cut.isalpha():
+            return array(self.code, [token.id for token in self.model.tokenize(self.chars[32] + "".join(map(self.chars.__getitem__, cut.encode())))]).tobytes()
         word = cut.rstrip(".,;:!?")
-        if word.isalpha():      # and so is what follows them
+        if word.isalpha():      # letters are one piece, and so is what follows them
             return self.cuts[word] + self.pieces[cut[len(word):]]
         return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(" " + cut)))
 
