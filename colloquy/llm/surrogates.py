@@ -172,6 +172,10 @@ def meaning(kind: Column, text: Column) -> Column:
             .when(kind == "email", F.lower(text)).when(kind.startswith("given_") | (kind == "family"), F.lower(text)).otherwise(text))
 
 
+#: Rounds of drawing; spaces widen in the first sixteen.
+ATTEMPTS = 64
+
+
 def surrogates(entries: DataFrame, key: str) -> DataFrame:
     """``entries(kind, entry, attempt)`` with ``made``: the surrogate drawn at an attempt, a pure function of the row and the key.
 
@@ -197,8 +201,10 @@ def _drawn(kind: Column, entry: Column, attempt: Column, s: Column) -> Column:
     inside = (a == 10) | (a == 127) | ((a == 192) & (b == 168))
     shared = (a == 172) & b.between(16, 31)
     public = at(0) % 100 + 11       # 11 to 110: neither private nor local
-    ip = F.concat_ws(".", F.when(inside | shared, a).otherwise(public).cast("string"),
-                     F.when((a == 192) & inside, b).when(shared, at(1) % 16 + 16).otherwise(at(1) % 256).cast("string"), (at(2) % 256).cast("string"), (at(3) % 254 + 1).cast("string"))
+    # A private address keeps its block while that is likely to have room, then moves to the largest private one, then to public ones.
+    stays = attempt < 4
+    ip = F.concat_ws(".", F.when(inside | shared, F.when(stays, a).when(attempt < 16, F.lit(10)).otherwise(public)).otherwise(public).cast("string"),
+                     F.when((a == 192) & inside & stays, b).when(shared & stays, at(1) % 16 + 16).otherwise(at(1) % 256).cast("string"), (at(2) % 256).cast("string"), (at(3) % 254 + 1).cast("string"))
     mapped = _mapped(entry, s)
     body = F.concat(F.left(entry, F.lit(1)), mapped.substr(F.lit(2), F.length(entry) - 2))
     phone = F.concat((at(20) % 8 + 2).cast("string"), mapped.substr(2, 2), (at(21) % 8 + 2).cast("string"), mapped.substr(F.lit(5), F.length(entry)))
@@ -245,12 +251,13 @@ def draw(entries: DataFrame, key: str) -> DataFrame:
     """``(kind, entry, made)``: a distinct surrogate for each of the distinct ``entries(kind, entry)``.
 
     All entries draw; an entry whose draw is a real entry, or was drawn by another with fewer
-    attempts (or a smaller entry), draws again, until none has to. Every round is written.
+    attempts (or a smaller entry), draws again, until none has to. Every round is written. An error says if a kind's
+    surrogates run out: after ``ATTEMPTS`` rounds, of which each leaves a share of the clashes that only a nearly full space keeps.
     """
     # Entries are few bytes but work to draw: they are spread over all tasks.
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = entries.select("kind", "entry", F.lit(0).alias("attempt")).repartition(parts, "kind", "entry")
-    state = materialise(surrogates(spread, key))
+    state, attempts = materialise(surrogates(spread, key)), 0
     while True:
         real = state.select("kind", F.col("entry").alias("made")).withColumn("real", F.lit(True))
         first = state.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entry")).alias("first"), F.count("*").alias("drawn"))
@@ -259,6 +266,10 @@ def draw(entries: DataFrame, key: str) -> DataFrame:
         clash = materialise(clash)
         if clash.isEmpty():
             return state.select("kind", "entry", "made")
+        attempts += 1
+        if attempts > ATTEMPTS:
+            kinds = [r["kind"] for r in clash.select("kind").distinct().collect()]      # a few names
+            raise RuntimeError(f"no distinct surrogates are left for {', '.join(sorted(kinds))}")
         loses = F.coalesce(F.col("real") | (F.col("first.entry") != F.col("entry")), F.lit(False))
         judged = materialise(state.join(clash, ["kind", "made"], "left").select("kind", "entry", "attempt", "made", loses.alias("loses")))
         again = surrogates(judged.where("loses").select("kind", "entry", (F.col("attempt") + 1).alias("attempt")), key)

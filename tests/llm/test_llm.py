@@ -148,6 +148,21 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(made)) == len(made) == 22 and not set(made) & set(mails)
 
 
+def test_a_full_block_of_addresses_is_left(spark):
+    """With every address of 192.168 in use none can be drawn there."""
+    full = spark.range(256 * 254).selectExpr("'ip' as kind", "concat('192.168.', id div 254, '.', id % 254 + 1) as entry")
+    made = surrogates.draw(full.unionByName(spark.createDataFrame([("ip", "10.1.2.3")], "kind string, entry string")), "k").collect()
+    assert len(made) == len({r.made for r in made}) == 256 * 254 + 1
+    assert all(r.made.startswith("10.") for r in made)
+
+
+def test_an_exhausted_space_ends_in_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 1)
+    monkeypatch.setattr(surrogates, "surrogates", lambda entries, key: entries.withColumn("made", F.lit("same")))
+    with pytest.raises(RuntimeError, match="ip"):
+        surrogates.draw(spark.createDataFrame([("ip", "10.1.2.3"), ("ip", "10.1.2.4")], "kind string, entry string"), "k")
+
+
 def test_planted_entries_are_gone(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     pattern = r"[\w.]+@mail\d\.example\.com"
