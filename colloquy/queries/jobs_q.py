@@ -42,6 +42,40 @@ def _(spark, sf):
     return jobs.summarise_sections(answers, lx.kinds(spark)).select("recording_id", "part", "section", "piece", "note_no", "type", "text", "entities")
 
 
+def section_writer():
+    """A stub that writes a section as its notes, the first one twice."""
+    def answer(text):
+        notes = [x for x in text.split("\n") if x.startswith("- ")]
+        return "\n".join(notes + notes[:1])
+    return answer
+
+
+def section_reviewer():
+    """A stub that calls the last line of each section wrong."""
+    def answer(text):
+        return "INVENTED: " + text.split("\n")[-1]
+    return answer
+
+
+@fx.written
+def _placed(spark, sf):
+    s = fx.segments(spark, sf).withColumnRenamed("seg_no", "sent_no")
+    return jobs.summarise_sections(jobs.read_passes(s, 600, note_taker, 0.1), lx.kinds(spark))
+
+
+@query("job_write_sections")
+def _(spark, sf):
+    """From the placed notes to the page of every recording."""
+    recordings = fx.segments(spark, sf).select("recording_id").distinct().withColumn("title", F.concat(F.lit("Rec "), "recording_id"))
+    return jobs.write_sections(_placed(spark, sf), lx.kinds(spark), recordings, section_writer, section_reviewer)[0]
+
+
+@query("section_measures")
+def _(spark, sf):
+    recordings = fx.segments(spark, sf).select("recording_id").distinct().withColumn("title", F.lit(""))
+    return jobs.write_sections(_placed(spark, sf), lx.kinds(spark), recordings, section_writer, section_reviewer)[1]
+
+
 @query("job_summarise_headings")
 def _(spark, sf):
     return jobs.summarise_headings(fx.answers(spark, sf), page_writer).select("recording_id", "field", "line_no", "text")
