@@ -5,16 +5,27 @@ from pyspark.sql import functions as F
 from colloquy import fixtures as fx
 from colloquy.functions import lexicons as lx
 from colloquy.operators import jobs
-from colloquy.queries.layout_q import _names
-from colloquy.registry import query
-
-
-@query("job_layout")
+from colloquy.fixtures import sql
+from colloquy.queries import summary_q  # noqa: F401 - its SQL is used here
+from colloquy.queries.layout_q import _CLEAN, _names
+from colloquy.registry import ORACLES, query
+
+
+@query("job_layout", sql("segments turns", f""",
+ said as ({ORACLES['assign_speakers']}),
+ named as (select distinct recording_id, speaker as label, case when recording_id%3=0 and speaker='user' then '' when speaker='system' then 'Anna' else 'Voice '||(recording_id%7) end as name from segments),
+ who as (select said.recording_id, seg_no, coalesce(nullif(name,''), said.speaker) as speaker, text from said join (select recording_id, seg_no, text from segments) using (recording_id, seg_no)
+   left join named on named.recording_id=said.recording_id and named.label=said.speaker),
+ l as (select *, case when lag(speaker) over (partition by recording_id order by seg_no)=speaker then 0 else 1 end as fresh from who),
+ i as (select *, sum(fresh) over (partition by recording_id order by seg_no)-1 as turn_no from l)
+ select recording_id, turn_no::BIGINT as turn_no, 0::BIGINT as part, min(speaker) as speaker,
+  '['||min(speaker)||'] '||{_CLEAN.format("string_agg(text,' ' order by seg_no)")} as text from i group by recording_id, turn_no"""))
 def _(spark, sf):
     return jobs.read_with_speakers(fx.segments(spark, sf), fx.turns(spark, sf), _names(spark, sf).drop("label"))
 
 
-@query("job_layout_plain")
+@query("job_layout_plain", f"""select recording_id, para_no, text from ({ORACLES['paragraphs']})
+ union all select recording_id, para_no, text from ({ORACLES['paragraphs_from_prose']}) p where recording_id not in (select conv_id from conversations where text<>'')""")
 def _(spark, sf):
     return jobs.read_without_speakers(fx.segments(spark, sf), fx.prose(spark, sf))
 

@@ -92,7 +92,14 @@ def _blocks(spark, sf):
                                        ((F.col("seg_no") % 10) / 10).alias("band_ratio"))
 
 
-@query("signal_activity")
+@query("signal_activity", """with e as (select user_id as recording_id, ts::TIMESTAMP as ts, power(least(value/500,1.0),2) as ms, (event_id%10)/10.0::DOUBLE as band from events),
+ d as (select *, case when ms>0 then 10*log10(ms) else -120 end as db from e),
+ w as (select recording_id, db, band, unnest([time_bucket(interval 6 hour, ts)+interval 6 hour, time_bucket(interval 6 hour, ts)+interval 12 hour]) as at_ts from d),
+ q as (select *, count(*) over p as n, quantile_cont(db, 0.9) over p as level, quantile_cont(db, 0.2) over p as floor_ from w window p as (partition by recording_id, at_ts)),
+ g as (select recording_id, at_ts, any_value(n) as n, any_value(level) as level, any_value(floor_) as floor_, count(*) filter (where db>floor_+6) as loud,
+   coalesce(avg(band) filter (where db>floor_+6), avg(band)) as band from q group by all)
+ select recording_id, strftime(at_ts,'%Y-%m-%d %H:%M') as at, n::INT as blocks, case when n<4 then null when level < -50 then 'silence'
+  when level-floor_>=6 and loud/n between 0.05 and 0.95 and round(band,9)>=0.5 then 'speech' else 'sound' end as verdict from g""")
 def _(spark, sf):
     out = drained(live.signal_activity(streamed(_blocks(spark, sf)), min_blocks=4, window="12 hours", slide="6 hours"))
     return out.where("recording_id >= 0").select("recording_id", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), "blocks", "verdict")

@@ -299,7 +299,15 @@ def _(spark, sf):
     return me.rouge_n(*_pairs(spark, sf), 2)
 
 
-@query("rouge_l")
+@query("rouge_l", sql("heard", f""",
+ w as (select recording_id||':'||seg_no as id, {_RW.format(sql_fold("string_agg(heard,' ' order by word_no)"))} as h,
+   {_RW.format(sql_fold("string_agg(given,' ' order by word_no)"))} as r from heard group by recording_id, seg_no),
+ step as (with recursive l(id, i, v) as (
+   select id, 0, list_transform(r, lambda x: 0) from w
+   union all
+   select l.id, i+1, list_transform(range(1, len(r)+1), lambda j: list_max(list_transform(range(1, j+1), lambda k: case when r[k]=h[i+1] then coalesce(case when k>1 then v[k-1] end, 0)+1 else v[k] end)))
+   from l join w using (id) where i<len(h)) select id, i, coalesce(v[-1], 0) as lcs from l)
+ select w.id, round(case when lcs>0 then 2*(lcs/len(h))*(lcs/len(r))/((lcs/len(h))+(lcs/len(r))) else 0.0 end,6) as rouge_l from w join step on step.id=w.id and step.i=len(h)"""))
 def _(spark, sf):
     return me.rouge_l(*_pairs(spark, sf))
 

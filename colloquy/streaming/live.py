@@ -69,7 +69,7 @@ def signal_activity(blocks: DataFrame, watermark: str = WATERMARK, min_blocks: i
     ``blocks(recording_id, ts, mean_square, band_ratio)``, about ten a second.
     """
     b = blocks.withColumn("_db", rms_db(F.col("mean_square"))).withWatermark("ts", watermark)
-    # A window holds some tens of blocks, which it keeps for the second look.
+    # A window holds some tens of blocks, which it keeps for the second look; they come in any order, which must not decide a verdict.
     g = b.groupBy("recording_id", F.window("ts", window, slide).alias("w")).agg(
         F.percentile("_db", F.lit(0.9)).alias("level_db"), F.percentile("_db", F.lit(0.2)).alias("floor_db"),
         F.collect_list(F.struct("_db", "band_ratio")).alias("_b"))
@@ -79,7 +79,7 @@ def signal_activity(blocks: DataFrame, watermark: str = WATERMARK, min_blocks: i
     g = g.withColumns({"dynamic_db": F.col("level_db") - F.col("floor_db"), "active": F.size("_loud") / F.size("_b"),
                        "band_ratio": F.aggregate(bands, F.lit(0.0), lambda a, x: a + x["band_ratio"]) / F.size(bands)})
     verdict = (F.when(F.size("_b") < min_blocks, None).when(F.col("level_db") < SILENCE_DB, SILENCE)
-               .when((F.col("dynamic_db") >= DYNAMIC_DB) & F.col("active").between(*ACTIVE) & (F.col("band_ratio") >= BAND), SPEECH)
+               .when((F.col("dynamic_db") >= DYNAMIC_DB) & F.col("active").between(*ACTIVE) & (F.round("band_ratio", 9) >= BAND), SPEECH)
                .otherwise(SOUND))
     return g.select("recording_id", F.col("w.end").alias("at"), F.size("_b").alias("blocks"), "level_db", "floor_db", "dynamic_db",
                     "active", "band_ratio", verdict.alias("verdict"))
