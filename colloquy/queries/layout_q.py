@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from colloquy import fixtures as fx
-from colloquy.registry import query
+from colloquy.registry import ORACLES, query
 from colloquy.fixtures import sql
 from colloquy.functions import text as tx
 from colloquy.operators import layout as lo
@@ -87,6 +87,19 @@ def _(spark, sf):
     return sp.match_voices(v.where("seg_no >= 30"), learned, fixed=True).withColumn("likeness", F.round("likeness", 6))
 
 
+@query("learn_all_voices", ORACLES["learn_voices"].replace(" where seg_no<30", ""))
+def _(spark, sf):
+    v = sp.learn_voices(fx.voices(spark, sf))
+    return v.withColumn("sum_vec", F.transform("sum_vec", lambda x: F.round(x, 6)))
+
+
+@query("match_all_voices", ORACLES["match_voices"].replace(" where seg_no<30", "").replace(" where u.seg_no>=30", ""))
+def _(spark, sf):
+    """Every stretch against the voices of all of them."""
+    v = fx.voices(spark, sf)
+    return sp.match_voices(v, sp.learn_voices(v), fixed=True).withColumn("likeness", F.round("likeness", 6))
+
+
 @query("match_voices_open")
 def _(spark, sf):
     v = fx.voices(spark, sf)

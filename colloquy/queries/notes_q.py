@@ -12,7 +12,7 @@ from colloquy.operators import metrics as me
 from colloquy.operators import notes as no
 from colloquy.operators import sections as se
 from colloquy.operators import terms as tm
-from colloquy.queries.summary_q import ranked, sentences, terms_sql
+from colloquy.queries.summary_q import PROSE, ranked, sentences, terms_sql
 
 
 @fx.written
@@ -218,7 +218,15 @@ def _(spark, sf):
     return no.chunk_sentences(s, 300).select("recording_id", "sent_no", "chunk_start")
 
 
-@query("chunk_sentences_overlap")
+@query("chunk_sentences_overlap", sql("prose", PROSE + """,
+ c as (select recording_id, n, floor(length(text)/case when coalesce(language,'')='' or regexp_extract(lower(trim(language)),'^([^_-]*)',1)='it' then 2.8 else 4.4 end)::BIGINT+8 as cost from sents),
+ u as (select recording_id, list_prepend(0::BIGINT, list(upto order by n)) as upto, count(*) as size from (select recording_id, n, (sum(cost) over (partition by recording_id order by n))::BIGINT as upto from c) group by all),
+ step as (with recursive r(recording_id, low, fresh, high) as (
+   select recording_id, 0::BIGINT, 0::BIGINT, greatest(1, len(list_filter(upto, lambda x: x<=600))-1)::BIGINT from u
+   union all
+   select recording_id, back, high, greatest(high+1, len(list_filter(upto, lambda x: x<=upto[back+1]+600))-1)::BIGINT from (
+    select r.recording_id, upto, high, greatest(low+1, len(list_filter(upto, lambda x: x<upto[high+1]-90)))::BIGINT as back from r join u using (recording_id) where high<size)) select * from r)
+ select recording_id, unnest(range(low, high)) as sent_no, fresh as chunk_start, unnest(range(low, high))<fresh as carried from step"""))
 def _(spark, sf):
     return no.chunk_sentences(sentences(spark, sf), 600, 0.15, "language")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from colloquy import fixtures as fx
-from colloquy.registry import query
+from colloquy.registry import ORACLES, query
 from colloquy.fixtures import sql, sql_fold
 from colloquy.functions import lexicons as lx
 from colloquy.operators import layout as lo
@@ -327,6 +327,20 @@ def _(spark, sf):
     return me.screening_report(a)
 
 
+@query("screening_of_answers", f"""with r1 as ({ORACLES['rouge_1']}), r2 as ({ORACLES['rouge_2']}),
+ t as (select id, split_part(id,':',1)::BIGINT as recording_id, rouge_1, rouge_2 from r1 join r2 using (id)),
+ h as ({sql("heard", " select recording_id||':'||seg_no as id, string_agg(heard,' ' order by word_no) as text, string_agg(given,' ' order by word_no) as source from heard group by recording_id, seg_no")})
+ select case when recording_id%2=0 then 'a' else 'b' end as model, count(*) as items, round(avg(rouge_1),6) as rouge_1, round(avg(rouge_2),6) as rouge_2,
+  count_if(starts_with(trim(regexp_replace(text,'\\s+',' ','g')), substr(trim(regexp_replace(source,'\\s+',' ','g')),1,60))) as copied, count_if(trim(text)='') as empty, round(avg(recording_id%9+0.5),6) as seconds
+ from t join h using (id) group by all""")
+def _(spark, sf):
+    """Of answers with their measured overlaps: what was heard against what was given."""
+    heard, given = _pairs(spark, sf)
+    r = F.split_part("id", F.lit(":"), F.lit(1)).cast("long")
+    a = heard.join(given.withColumnRenamed("text", "source"), "id").join(me.rouge_n(heard, given, 1), "id").join(me.rouge_n(heard, given, 2), "id")
+    return me.screening_report(a.withColumns({"model": F.when(r % 2 == 0, "a").otherwise("b"), "seconds": r % 9 + 0.5}))
+
+
 @query("estimate_tokens", sql("prose", PROSE + """
  select recording_id, sum(floor(length(text)/4.4::DOUBLE))::BIGINT as tokens, sum(length(text))::BIGINT as chars from sents group by all"""))
 def _(spark, sf):
