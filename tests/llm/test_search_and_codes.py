@@ -58,7 +58,8 @@ def test_search_odd(spark, odd, none, monkeypatch, block):
     docs = odd.unionByName(more, allowMissingColumns=True)
     got = rows(lexical.search(docs, items), "item_id", "rank", "doc_id", "score")
     assert got == plain_search([(i, t) for i, t, *_ in ODD] + [(30 - i, "a b c") for i in range(25)] + [(40, "Ärger épsilon ärger")], asked)
-    assert [d for i, r, d, s in sorted(got, key=lambda x: x[1]) if i is None] == [8, 9, *range(6, 14)] or len({d for i, _, d, _ in got if i is None}) == 10
+    tied = [d for _, _, d, _ in sorted((g for g in got if g[0] is None), key=lambda g: g[1])]
+    assert len(tied) == 10 and tied == [*sorted(tied[:2]), *sorted(tied[2:])]       # two shorter texts, then the equal ones by id
     assert lexical.search(none, items).count() == 0 and lexical.search(docs, items.limit(0)).count() == 0
 
 
@@ -120,7 +121,7 @@ def test_chunked_ids_equal_the_library(spark, odd, none, library):
 def test_hot_chunks_are_dealt(spark, library, monkeypatch):
     """A passage in every text goes to several tasks; a filter that is full only makes more chunks travel."""
     monkeypatch.setattr(chunks, "FILTER_BITS", 64)
-    monkeypatch.setattr(chunks, "HOT", 20)
+    monkeypatch.setattr(chunks, "HOT", 60)
     passage = " ".join(f"w{i}" for i in range(4000))
     texts = [(i, f"begin{i} {passage} end{i}") for i in range(30)]
     docs = materialise(spark.createDataFrame(texts, "doc_id long, text string").repartition(5))
