@@ -1,4 +1,4 @@
-"""Where somebody else's model is called: text, speech, voice vectors.
+"""Where somebody else's language model is called.
 
 A client is opened once per partition, rows stream through it in Arrow batches, and a
 cache (``catalogue.reuse_passes``) stands in front of the expensive ones.
@@ -37,33 +37,4 @@ def ask_cached(chunks: DataFrame, cache: DataFrame, open_client) -> tuple[DataFr
     return hits.unionByName(fresh.select(*hits.columns)), fresh.select("pass_key", "answer")
 
 
-def recognise(pieces: DataFrame, open_engine: Callable[[], Callable]) -> DataFrame:
-    """Segments per piece of audio: the engine maps samples to ``(text, start_ms, end_ms)`` rows.
-
-    ``pieces(recording_id, piece_no, piece_start_ms, samples)``; times come back on the recording's clock.
-    """
-    schema = T.StructType([pieces.schema["recording_id"], T.StructField("piece_no", T.LongType()), T.StructField("seg_in_piece", T.LongType()),
-                           T.StructField("text", T.StringType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())])
-
-    def hear(batches):
-        engine = open_engine()
-        for pdf in batches:
-            rows = [(r.recording_id, r.piece_no, i, text, r.piece_start_ms + s, r.piece_start_ms + e)
-                    for r in pdf.itertuples() for i, (text, s, e) in enumerate(engine(r.samples))]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
-    return pieces.mapInPandas(hear, schema)
-
-
-def embed(stretches: DataFrame, open_model: Callable[[], Callable], rate: int = 16_000) -> DataFrame:
-    """``vector`` for each stretch of at least a second, its first thirty seconds at most."""
-    schema = T.StructType([f for f in stretches.schema.fields if f.name != "samples"] + [T.StructField("vector", T.ArrayType(T.DoubleType()))])
-
-    def measure(batches):
-        model = open_model()
-        for pdf in batches:
-            vectors = [model(s[:30 * rate]) if s is not None and len(s) >= rate else None for s in pdf["samples"]]
-            yield pdf.drop(columns="samples").assign(vector=vectors)
-    return stretches.mapInPandas(measure, schema)
-
-
-__all__ = ["PASS_KEY", "ask_cached", "embed", "map_text", "recognise"]
+__all__ = ["PASS_KEY", "ask_cached", "map_text"]

@@ -14,6 +14,7 @@ from colloquy.functions import lexicons as lx
 from colloquy.functions import text as tx
 from colloquy.operators import terms as tm
 from colloquy.operators.notes import BULLET
+from colloquy.plans.ordered import dense
 from colloquy.plans.store import materialise
 
 # --- fixed values: what makes a section --------------------------------------
@@ -233,12 +234,12 @@ def split_oversize(placed: DataFrame, language: Column | str | None = None, most
     again = materialise(discover_sections(big, w, apart=TIGHT_AGAIN, most=1 << 30))
     widest = again.groupBy("recording_id", "section").agg(F.count("*").alias("_c")).groupBy("recording_id").agg(
         F.max("_c").alias("_widest"), F.max("section").alias("_any"))
-    nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("note_no")) - 1
-    runs = F.floor(nth / most)
-    big = (big.join(again.withColumnRenamed("section", "_piece"), NOTE).join(widest, "recording_id")
+    # A section may be most of a corpus: its notes are numbered in blocks.
+    runs = F.floor(F.col("_nth") / most)
+    big = (dense(big, ["recording_id"], ["note_no"], "_nth").join(again.withColumnRenamed("section", "_piece"), NOTE).join(widest, "recording_id")
            .withColumn("_run", runs).withColumn("piece", F.when((F.col("_any") < 0) | (F.col("_widest") > most), F.col("_run"))
                                                 .otherwise(F.when(F.col("_piece") < 0, 1 << 40).otherwise(F.col("_piece"))).cast("long"))
-           .withColumn("recording_id", F.col("_rec")).drop("_rec", "_piece", "_widest", "_any", "_run"))
+           .withColumn("recording_id", F.col("_rec")).drop("_rec", "_piece", "_widest", "_any", "_run", "_nth"))
     return small.unionByName(big.select(*small.columns)).drop("_n")
 
 
