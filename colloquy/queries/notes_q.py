@@ -95,7 +95,13 @@ def _(spark, sf):
     return no.entities(notes(spark, sf))
 
 
-@query("enrich_notes")
+def _found_sql(pattern):
+    return "list_transform(regexp_extract_all(t, '" + pattern.replace("'", "''") + "', 1), lambda x: trim(x))"
+
+
+@query("enrich_notes", sql("answers", NOTES_SQL + f""",
+ told as (select recording_id, note_no, '12 marzo '||text||' cost 30 euro by monday, 5%' as t from notes)
+ select recording_id, note_no, {_found_sql(no.DATES)} as dates, {_found_sql(no.NUMBERS)} as numbers from told"""))
 def _(spark, sf):
     n = notes(spark, sf).withColumn("text", F.concat(F.lit("12 marzo "), "text", F.lit(" cost 30 euro by monday, 5%")))
     return no.enrich_notes(n).select("recording_id", "note_no", "dates", "numbers")
