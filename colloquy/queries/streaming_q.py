@@ -20,8 +20,10 @@ def drained(stream, mode="append"):
     """Run a stream over what its source holds and read what it wrote."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-     .trigger(availableNow=True).start().awaitTermination())
+    with live.state_store(spark):
+        running = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+                   .trigger(availableNow=True).start())
+        running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -172,7 +174,6 @@ def _pieces(spark, sf):
 
 @query("live_voices")
 def _(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     v = fx.voices(spark, sf).select("recording_id", "seg_no", F.col("vector").cast("array<double>").alias("vector"),
                                     F.when(F.col("seg_no") < 30, F.col("speaker")).alias("learned"))
     return drained(live.live_voices(streamed(v))).where("recording_id >= 0")

@@ -6,6 +6,9 @@ import uuid
 
 import pytest
 
+from conftest import SMALL
+
+from colloquy.catalog import QUERIES
 from colloquy.plans.store import shared_dir
 from colloquy.streaming import live
 
@@ -75,3 +78,15 @@ def test_voices_are_forgotten_once_a_recording_is_over(spark, forget, want):
     again = [(1, 2, at(10 * 3600), [1.0, 0.0], None)]
     got = {(r.recording_id, r.seg_no): r.speaker for r in drained(live.live_voices(arriving(spark, schema, first, between, again), forget=forget))}
     assert got == {(1, 0): "Ada", (1, 1): "Ada", (2, 0): "SPEAKER_00", (1, 2): want}
+
+
+@pytest.mark.parametrize("name", ["live_paragraphs", "live_paragraphs_of_segments", "live_speakers", "job_live"])
+def test_live_queries_run_in_a_session_with_the_default_state_store(spark, name):
+    """A session that names no store, or the one without several states per key."""
+    own = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        assert QUERIES[name](spark, SMALL).count() > 0
+        assert "HDFSBacked" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", own)
