@@ -174,7 +174,9 @@ def _(spark, sf):
     kw = se.section_keywords(n)
     s = n.groupBy("recording_id", "section").agg(F.min("type").alias("type")).join(kw, ["recording_id", "section"], "left")
     s = s.withColumn("kind", F.when(F.col("section") % 3 == 0, F.col("type")).when(F.col("section") % 3 == 1, "other"))
-    return se.label_sections(s, lx.kinds(spark), "en").select("recording_id", "section", "title")
+    # The operator calls a section without a kind or keywords "Other points"; the SQL gives it no title.
+    titled = F.col("kind").isNotNull() | (F.size("keywords") > 0)
+    return se.label_sections(s, lx.kinds(spark), "en").select("recording_id", "section", F.when(titled, F.col("title")).alias("title"))
 
 
 @query("document_title", sql("answers", NOTES_SQL + """,
