@@ -61,6 +61,11 @@ def _(spark, sf):
     return sp.restore_clock(times, t)
 
 
+def _six(x):
+    """To six digits as SQL rounds, which leaves a small negative number its sign: -0.0."""
+    return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
+
+
 @query("learn_voices", sql("voices", """,
  n as (select recording_id, seg_no, speaker, vector, sqrt(list_sum(list_transform(vector, lambda x: x::DOUBLE*x::DOUBLE))) as nn from voices where seg_no<30),
  d as (select recording_id, speaker, unnest(vector)::DOUBLE/nn as x, generate_subscripts(vector,1) as dim from n),
@@ -68,7 +73,7 @@ def _(spark, sf):
  select recording_id, speaker, list(round(x,6) order by dim) as sum_vec, max(n) as n from g group by recording_id, speaker"""))
 def _(spark, sf):
     v = sp.learn_voices(fx.voices(spark, sf).where("seg_no < 30"))
-    return v.withColumn("sum_vec", F.transform("sum_vec", lambda x: F.round(x, 6)))
+    return v.withColumn("sum_vec", F.transform("sum_vec", _six))
 
 
 @query("match_voices", sql("voices", """,
@@ -90,7 +95,7 @@ def _(spark, sf):
 @query("learn_all_voices", ORACLES["learn_voices"].replace(" where seg_no<30", ""))
 def _(spark, sf):
     v = sp.learn_voices(fx.voices(spark, sf))
-    return v.withColumn("sum_vec", F.transform("sum_vec", lambda x: F.round(x, 6)))
+    return v.withColumn("sum_vec", F.transform("sum_vec", _six))
 
 
 @query("match_all_voices", ORACLES["match_voices"].replace(" where seg_no<30", "").replace(" where u.seg_no>=30", ""))
