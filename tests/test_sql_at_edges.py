@@ -1,6 +1,7 @@
 """Queries against their SQL on rows the driver tables seldom hold."""
 
 import math
+import time
 import uuid
 from pathlib import Path
 
@@ -11,7 +12,9 @@ from check import TABLES, connect, digest, duck_rows, spark_rows
 from conftest import SMALL
 
 from colloquy.catalog import ORACLES, QUERIES
+from colloquy.operators import proofread
 from colloquy.operators import terms as tm
+from colloquy.sources import readers
 
 
 @pytest.fixture
@@ -50,3 +53,22 @@ def test_sentences_end_where_no_abbreviation_does(spark):
     got = spark.createDataFrame([(1, text)], "recording_id long, text string")
     assert [r.text for r in tm.split_sentences(got).orderBy("sent_no").collect()] == [
         "Il sig. Rossi e la sig.ra Bianchi.", "Dr. No?", "Ok!!", "Vs. them...", "End etc. dell'ing. Neri.", "Not a mr.x.", "Prof!? yes"]
+
+
+def test_headers_of_a_long_vocabulary_are_read_once(spark):
+    """Once a term, these 20,000 terms took about a minute."""
+    raw = "# Title: Long\n# language: it\n" + ", ".join(f"term-{i}" for i in range(20_000))
+    files = spark.createDataFrame([("long", 0, raw)], "name string, precedence int, raw string").cache()
+    files.count()
+    start = time.time()
+    got = readers.vocabulary_terms(files).agg({"title": "max", "language": "max", "term_no": "max"}).first()
+    assert sorted(map(str, got)) == ["19999", "Long", "it"]
+    assert time.time() - start < 15
+
+
+def test_a_prompt_takes_the_terms_of_its_lists_in_order(spark):
+    jobs = spark.createDataFrame([(1, ["b", "a"]), (2, ["a", "none", "b"]), (3, []), (4, None)], "recording_id long, names array<string>")
+    voc = spark.createDataFrame([("a", 1, "a1"), ("a", 0, "a0"), ("b", 0, "b0")], "name string, term_no int, term string")
+    words = spark.createDataFrame([(r, n, w) for r in (1, 2, 4) for n, w in enumerate(["Anna", "Berta", "Clara"])], "recording_id long, n long, word string")
+    got = {r.recording_id: r.prompt for r in proofread.vocabulary_prompt(jobs, voc, words, room=21).collect()}
+    assert got == {1: "b0, a0, a1 Anna Berta", 2: "a0, a1, b0 Anna Berta", 3: "", 4: "Anna Berta Clara"}
