@@ -1,6 +1,7 @@
 """Lining up words by position, and what it may respell."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -101,3 +102,15 @@ def test_empty_and_null(spark):
     odd = spark.createDataFrame([(1, 0, None), (1, 1, ""), (1, 2, "a")], "recording_id long, n long, f string")
     assert alignment.align(none, none).count() == 0 and alignment.align(odd, none).count() == 0
     assert sorted(tuple(r)[1:] for r in alignment.align(odd, odd).collect()) == [(0, 0, True), (1, 1, True), (2, 2, True)]
+
+
+def test_many_short_gaps_share_calls(spark):
+    """A call for each of these gaps took over a minute."""
+    from pyspark.sql import functions as F
+    words = spark.range(20_000).select(F.lit(1).cast("long").alias("recording_id"), "id", F.col("id").alias("gap"))
+    heard = words.select("recording_id", (2 * F.col("id") + 1).alias("n"), F.lit("said").alias("f"), "gap")
+    given = words.select("recording_id", (3 * F.col("id") + 1).alias("n"), F.when(F.col("id") % 2 == 0, "said").otherwise("meant").alias("f"), "gap")
+    start = time.time()
+    got = alignment._matched(heard, given, 1024).groupBy("equal").agg(F.count("*").alias("c"), F.sum(F.col("gn") * 2 - F.col("hn") * 3).alias("d")).collect()
+    assert {r.equal: (r.c, r.d) for r in got} == {True: (10_000, -10_000), False: (10_000, -10_000)}
+    assert time.time() - start < 20
