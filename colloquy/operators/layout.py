@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def _opens_segment(pause_ms: int, max_ms: int, max_chars: int):
         if not is_open:
             opened, last, width = -1.0, -1.0, 0.0
         guard = [-1.0 if x != x else x for x in (opened, last)]
-        return pdf.assign(opens=marks), [*guard, width, is_open]
+        return {"opens": np.array(marks, dtype=bool)}, [*guard, width, is_open]
     return fold
 
 
@@ -67,13 +68,7 @@ def segments_from_words(words: DataFrame, pause_ms: int = 600, max_ms: int = 20_
     out = T.StructType([w.schema["recording_id"], T.StructField("_n", T.LongType()),
                         T.StructField("word", T.StringType()), T.StructField("start_ms", T.LongType()),
                         T.StructField("end_ms", T.LongType()), T.StructField("opens", T.BooleanType())])
-    core = _opens_segment(pause_ms, max_ms, max_chars)
-
-    def fold(pdf, state):
-        done, state = core(pdf, state)
-        return done[[f.name for f in out]], state
-
-    marked = materialise(fold_blocks(w, KEYS, "_n", fold, out, [-1.0, -1.0, 0.0, 0.0]))
+    marked = materialise(fold_blocks(w, KEYS, "_n", _opens_segment(pause_ms, max_ms, max_chars), out, [-1.0, -1.0, 0.0, 0.0], reads=["_len", "start_ms", "end_ms", "_stop"]))
     g = in_order(marked, KEYS, ["_n"], sums={"_seg": F.col("opens").cast("int")})
     row = F.struct("_n", "word", "start_ms", "end_ms")
     g = g.groupBy("recording_id", (F.col("_seg") - 1).alias("seg_no")).agg(
@@ -108,9 +103,9 @@ def paragraphs(segments: DataFrame, gap_ms: int = 1200, max_chars: int = 600) ->
             width = width + n + (1 if width else 0)
             if stop or width >= max_chars:
                 width = 0
-        return pdf.assign(opens=opens)[[f.name for f in out]], [width]
+        return {"opens": np.array(opens, dtype=bool)}, [width]
 
-    marked = materialise(fold_blocks(s, KEYS, "_n", fold, out, [0.0]))
+    marked = materialise(fold_blocks(s, KEYS, "_n", fold, out, [0.0], reads=["_len", "_break"]))
     g = in_order(marked, KEYS, ["_n"], sums={"_p": F.col("opens").cast("int")})
     return g.groupBy("recording_id", (F.col("_p") - 1).alias("para_no")).agg(
         tx.clean_text(_texts("text", ["_n"])).alias("text"),

@@ -226,10 +226,12 @@ def _chunk_fold(budget: int, carry: float):
             key = int(nos[high - held])
             parts.append((first - held + back, first - held + high, key, True))
             low, new, must = back, high, high + 1
-        out = pd.DataFrame({"sent_no": np.concatenate([np.arange(a, b) for a, b, *_ in parts]),
-                            "chunk_start": np.repeat([k for *_, k, _ in parts], [b - a for a, b, *_ in parts]),
-                            "carried": np.repeat([c for *_, c in parts], [b - a for a, b, *_ in parts])})
-        return out.assign(recording_id=pdf["recording_id"].iloc[0]), [float(key - int(nos[-1]) - 1), *costs[low:].tolist()]
+        long = [b - a for a, b, *_ in parts]
+        out = {"recording_id": pdf["recording_id"].to_numpy()[:1].repeat(sum(long)),
+               "sent_no": np.concatenate([np.arange(a, b) for a, b, *_ in parts]),
+               "chunk_start": np.repeat([k for *_, k, _ in parts], long),
+               "carried": np.repeat([c for *_, c in parts], long)}
+        return out, [float(key - int(nos[-1]) - 1), *costs[low:].tolist()]
     return fold
 
 
@@ -244,10 +246,7 @@ def chunk_sentences(sentences: DataFrame, budget: int, overlap: float = 0.0, lan
                         T.StructField("chunk_start", T.LongType()), T.StructField("carried", T.BooleanType())])
     fold = _chunk_fold(budget, max(0.0, min(0.5, overlap)) * budget)
 
-    def shaped(pdf, state):
-        done, state = fold(pdf, state)
-        return done[[f.name for f in out]], state
-    return fold_blocks(c, ["recording_id"], "sent_no", shaped, out, [0.0])
+    return fold_blocks(c, ["recording_id"], "sent_no", fold, out, [0.0])
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
