@@ -65,7 +65,7 @@ def summarise_sections(answers: DataFrame, kinds: DataFrame, language: str = "it
     lang = F.lit(language)
     n = materialise(se.dedupe_notes(n, tm.weights(n, lang, ("note_no",))))
     n = materialise(no.enrich_notes(n).join(no.entities(n, lang), ["recording_id", "note_no"], "left"))
-    placed = materialise(se.assign_sections(n, tm.weights(n, lang, ("note_no",)), mode).join(n, ["recording_id", "note_no"]))
+    placed = materialise(se.assign_sections(n, materialise(tm.weights(n, lang, ("note_no",))), mode).join(n, ["recording_id", "note_no"]))
     body = se.split_oversize(placed.where("part = 'body'"), lang)
     tail = placed.where("part = 'tail'").withColumn("piece", F.lit(0).cast("long"))
     return body.unionByName(tail.select(*body.columns)).select(

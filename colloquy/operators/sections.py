@@ -230,7 +230,7 @@ def split_oversize(placed: DataFrame, language: Column | str | None = None, most
         "recording_id", F.concat_ws("/", "recording_id", "section")))
     if big.isEmpty():
         return small.drop("_n")
-    w = tm.weights(big, language, ("note_no",))
+    w = materialise(tm.weights(big, language, ("note_no",)))
     again = materialise(discover_sections(big, w, apart=TIGHT_AGAIN, most=1 << 30))
     widest = again.groupBy("recording_id", "section").agg(F.count("*").alias("_c")).groupBy("recording_id").agg(
         F.max("_c").alias("_widest"), F.max("section").alias("_any"))
@@ -306,7 +306,7 @@ def trim_repeated_bullets(written: DataFrame, language: Column | str | None = No
     lines = materialise(page_lines(written).withColumn("text", F.regexp_replace("line", _MARKER, "")))
     ids = ("section_no", "line_no")
     lang = F.lit(language) if isinstance(language, str) else language
-    w = tm.weights(lines.where(F.col("line").rlike(_MARKER)), lang, ids)
+    w = materialise(tm.weights(lines.where(F.col("line").rlike(_MARKER)), lang, ids))
     gone = tm.greedy_leaders(w, same, ids).select("recording_id", *[F.col("id")[i].alias(i) for i in ids])
     return lines.join(gone, ["recording_id", *ids], "left_anti").select("recording_id", *ids, "line")
 
