@@ -30,8 +30,7 @@ def read_with_speakers(segments: DataFrame, turns: DataFrame, names: DataFrame |
 def read_without_speakers(segments: DataFrame, prose: DataFrame) -> DataFrame:
     """Paragraphs of every recording: by pauses where it has times, five sentences each where not."""
     timed = lo.paragraphs(segments).select("recording_id", "para_no", "text")
-    rest = prose.join(segments.select("recording_id").distinct(), "recording_id", "left_anti")
-    return timed.unionByName(lo.paragraphs_from_prose(tm.split_sentences(rest)))
+    return timed.unionByName(lo.paragraphs_of_prose(lo.untimed(prose, segments)))
 
 
 def read_passes(sentences: DataFrame, budget: int, open_client: LineSource, overlap: float = 0.0,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from colloquy.functions import clock
 from colloquy.functions import text as tx
+from colloquy.operators import terms as tm
 from colloquy.plans.folds import fold_blocks
 from colloquy.plans.ordered import dense, in_order
 from colloquy.plans.store import materialise
@@ -118,6 +119,20 @@ def paragraphs_from_prose(sentences: DataFrame, per: int = 5) -> DataFrame:
         _texts("text", ["sent_no"]).alias("text"))
 
 
+def paragraphs_of_prose(prose: DataFrame, per: int = 5) -> DataFrame:
+    """As :func:`paragraphs_from_prose` of the sentences of ``prose(recording_id, text)``, one row a recording: no sentence leaves its row."""
+    sentences = tm.sentence_array(F.coalesce("text", F.lit("")))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / per).cast("int")), lambda i: F.array_join(F.slice("_s", i * per + 1, F.lit(per)), " "))
+    p = prose.select("recording_id", sentences.alias("_s")).select("recording_id", F.posexplode(F.when(F.size("_s") > 0, runs)).alias("para_no", "text"))
+    return p.withColumn("para_no", F.col("para_no").cast("long"))
+
+
+def untimed(prose: DataFrame, segments: DataFrame) -> DataFrame:
+    """The rows of ``prose`` whose recording has no segments. Their numbers are written first: known to be few, they meet the texts without moving them."""
+    timed = materialise(segments.select("recording_id").distinct())
+    return prose.join(timed, "recording_id", "left_anti")
+
+
 def paragraphs_of_text(prose: DataFrame, per: int = 5) -> DataFrame:
     """Texts without times: cut after every mark that ends a sentence (abbreviations too), ``per`` sentences a paragraph.
 
@@ -163,17 +178,17 @@ def transcript_blocks(segments: DataFrame, prose_paragraphs: DataFrame) -> DataF
         "recording_id", F.col("seg_no").alias("block_no"), "start_ms",
         F.when(F.col("start_ms").isNotNull(), clock.format_clock(F.col("start_ms"))).otherwise(F.lit("")).alias("clock"),
         F.when(F.coalesce("speaker", F.lit("")) != "", F.concat("speaker", F.lit(": "), body)).otherwise(body).alias("body"))
-    untimed = prose_paragraphs.join(segments.select("recording_id").distinct(), "recording_id", "left_anti").select(
+    rest = untimed(prose_paragraphs, segments).select(
         "recording_id", F.col("para_no").alias("block_no"), F.lit(None).cast("long").alias("start_ms"),
         F.lit("").alias("clock"), F.col("text").alias("body"))
-    return timed.unionByName(untimed)
+    return timed.unionByName(rest)
 
 
 def timed_or_prose(segments: DataFrame, prose: DataFrame) -> DataFrame:
     """Each recording once: its segments where it has any, its text otherwise."""
     timed = segments.select("recording_id", "seg_no", "text", "start_ms", "end_ms", "speaker")
     none = F.lit(None)
-    rest = prose.join(segments.select("recording_id").distinct(), "recording_id", "left_anti").select(
+    rest = untimed(prose, segments).select(
         "recording_id", F.lit(0).cast("long").alias("seg_no"), "text", none.cast("long").alias("start_ms"),
         none.cast("long").alias("end_ms"), none.cast("string").alias("speaker"))
     return timed.unionByName(rest)

@@ -215,8 +215,7 @@ def _(spark, sf):
 
 
 def _paras(spark, sf):
-    from colloquy.operators import terms as tm
-    return lo.paragraphs_from_prose(tm.split_sentences(fx.prose(spark, sf)))
+    return lo.paragraphs_of_prose(fx.prose(spark, sf))
 
 
 @query("transcript_blocks", sql("segments prose", f""",
