@@ -6,14 +6,18 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from colloquy.functions import lexicons as lx
 from colloquy.functions import text as tx
 from colloquy.operators import terms as tm
 from colloquy.operators.notes import BULLET
+from colloquy.operators.summarise import by_recording
 from colloquy.plans.ordered import dense
 from colloquy.plans.store import materialise
 
@@ -78,16 +82,18 @@ def _labels(vectors: np.ndarray, least: list[float]) -> np.ndarray:
     return label
 
 
-def _labels_in_task(least: list[float]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf["note_no"].unique())
-        said = pdf[pdf["term"].notna()]
-        code, names = pd.factorize(said["term"])
+def _labels_in_task(least: list[float], out: T.StructType):
+    shape = to_arrow_schema(out)
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = np.unique(rows["note_no"].to_numpy())
+        said = rows.filter(pc.is_valid(rows["term"]))
+        names, code = np.unique(said["term"].to_numpy(), return_inverse=True)
         m = np.zeros((len(ids), max(1, len(names))))
         m[np.searchsorted(ids, said["note_no"].to_numpy()), code] = said["w"].to_numpy()
         found = _labels(m, least)
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "note_no": np.tile(ids, len(least)),
-                             "section": ids[found.ravel()], "t": np.repeat(np.arange(len(least)), len(ids))})
+        return pa.table([pa.array([rows["recording_id"][0].as_py()] * found.size, shape.field(0).type), pa.array(np.tile(ids, len(least)), pa.int64()),
+                         pa.array(ids[found.ravel()], pa.int64()), pa.array(np.repeat(np.arange(len(least)), len(ids)), pa.int64())], schema=shape)
     return run
 
 
@@ -152,8 +158,8 @@ def _settle(label: DataFrame, weighted: DataFrame, most: int) -> DataFrame:
     return settled.select(*key, "note_no", "section").unionByName(lone.select(*key, "note_no", "section"))
 
 
-#: Notes of one recording that are grouped inside a task.
-TASK_NOTES = 2000
+#: Notes of one recording that are grouped inside a task, and rows that a note is worth there, about.
+TASK_NOTES, NOTE_WORDS = 2000, 12
 
 
 def discover_sections(notes: DataFrame, weighted: DataFrame, apart: float | None = None, most: int = MAX_SECTIONS,
@@ -165,10 +171,12 @@ def discover_sections(notes: DataFrame, weighted: DataFrame, apart: float | None
     """
     distances = _distances(apart)
     out = T.StructType([notes.schema["recording_id"], *(T.StructField(c, T.LongType()) for c in ("note_no", "section", "t"))])
-    big = materialise(notes.groupBy("recording_id").agg(F.count("*").alias("_n")).where(F.col("_n") > task_notes).select("recording_id"))
-    rows = notes.select(*NOTE).join(weighted.select(*NOTE, "term", "w"), NOTE, "left")
-    label = (rows.join(big, "recording_id", "left_anti").groupBy("recording_id")
-             .applyInPandas(_labels_in_task([1.0 - d for d in distances]), out))
+    size = materialise(notes.groupBy("recording_id").agg(F.count("*").alias("_n")))
+    big = materialise(size.where(F.col("_n") > task_notes).select("recording_id"))
+    # A note's words are a dozen, about: some thousands of notes share a call, and terms go as numbers.
+    many = (size.agg(F.sum("_n")).first()[0] or 0) * NOTE_WORDS
+    rows = notes.select(*NOTE).join(tm.coded(weighted.select(*NOTE, "term", "w")), NOTE, "left")
+    label = by_recording(rows.join(big, "recording_id", "left_anti"), many, _labels_in_task([1.0 - d for d in distances], out), out)
     if not big.isEmpty():
         label = label.unionByName(_labels_as_joins(notes.join(big, "recording_id", "left_semi"), weighted.join(big, "recording_id", "left_semi"), distances))
     return _settle(materialise(label), weighted, most)
