@@ -23,8 +23,8 @@ from colloquy.plans.store import shared_dir
 
 #: Longest code in bits: the decoder's table has two to this power entries.
 LONGEST = 18
-#: Ids that are coded at a time, about.
-CODED = 1 << 21
+#: Bytes of text that are encoded at a time, and ids that are coded at a time, about.
+ENCODED, CODED = 8 << 20, 1 << 21
 #: Ids between checkpoints, and ids after which a block is closed.
 STRIDE, BLOCK = 256, 1 << 18
 
@@ -147,6 +147,12 @@ def _ends(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
+def _groups(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """First row, and the one behind the last, of groups of whole rows of some ``most`` together."""
+    bounds = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), len(sizes)]
+    return list(zip(bounds, bounds[1:])) if len(sizes) else []
+
+
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key long, ids binary, counts binary)``: little-endian ids of every whole text (null: empty), then ``end_id``.
 
@@ -157,11 +163,13 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id",
         end = np.array([end_id], use.width).tobytes()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = [use(t.as_py() or "") + end for t in batch.column(1)]
-            own = np.bincount(np.frombuffer(b"".join(ids), use.width), minlength=len(total))
-            own[:len(total)] += total
-            total = own
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["key", "ids", "counts"])
+            for lo, hi in _groups(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64), ENCODED):
+                ids = use.column(batch.column(1).slice(lo, hi - lo), end)
+                stop = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[-1]
+                own = np.bincount(np.frombuffer(ids.buffers()[2][:stop], use.width), minlength=len(total))
+                own[:len(total)] += total
+                total = own
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids, pa.nulls(len(ids), pa.binary())], names=["key", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["key", "ids", "counts"])
     return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids binary, counts binary")
 
@@ -204,10 +212,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, key: str
         for batch in batches:
             held = batch.column(1)
             sizes = pc.binary_length(held).to_numpy().astype(np.int64) // np.dtype(width).itemsize
-            # Some millions of ids at a time, whole documents.
-            part = np.cumsum(sizes) // CODED
-            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
-            for lo, hi in zip(bounds, bounds[1:]):
+            for lo, hi in _groups(sizes, CODED):        # some millions of ids at a time, whole documents
                 own = np.frombuffer(b"".join(held.slice(lo, hi - lo).to_pylist()), width).astype(np.int64)
                 data, n, at, marks = pack_many(own, sizes[lo:hi], lens, codes)
                 yield pa.RecordBatch.from_arrays(
