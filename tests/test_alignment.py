@@ -60,6 +60,30 @@ def test_rising(weighted):
             assert (np.diff(values[kept]) > 0).all() and (np.diff(kept) > 0).all() and weights[kept].sum() == best
 
 
+#: Heard, given, and the heard words that have the given ones opposite them: what only one side has stands before, after or between.
+APART = [
+    ("uno re es cosa ultima Es tre due", "uno Es tre due", {0: 0, 5: 1, 6: 2, 7: 3}),                # the one spelled alike, not the first
+    ("uno to. Altro vero the. To to. due", "uno to. To to. due", {0: 0, 1: 1, 5: 2, 6: 3, 7: 4}),     # as many as can be
+    ("uno bel giorno toorrow due tre", "uno tomorrow due tre", {0: 0, 3: 1, 4: 2, 5: 3}),              # opposite the word that is nearly it
+]
+
+
+@pytest.mark.parametrize("heard, given, opposite", APART)
+def test_what_one_side_lacks_takes_no_word(heard, given, opposite):
+    a, b = heard.split(), given.split()
+    sides = [[w.lower().strip(".") for w in x] for x in (a, b)]
+    spelled = [np.array([hash(w) for w in x]) for x in (a, b)]
+    assert {i: j for i, j, _ in alignment.blocks_of(*sides, *spelled)} == opposite
+
+
+def test_a_unique_word_without_an_equal_neighbour_is_no_anchor(spark):
+    """Heard lacks a letter of "ertible" and has that word elsewhere, where the text has none."""
+    heard, given = "the heaton erible anlyor the eronha ertible heer the the onnd", "the heaton ertible anlyor the the onnd"
+    rows = [[(1, n, w) for n, w in enumerate(x.split())] for x in (heard, given)]
+    got = alignment.align(*(spark.createDataFrame(x, "recording_id long, n long, f string") for x in rows)).collect()
+    assert {r.hn: r.gn for r in got}[2] == 2
+
+
 def edited(rng, n, vocabulary):
     """A text, what was heard of it, and which words of both are the same."""
     given = [f"w{int(rng.paretovariate(0.7)) % vocabulary}" for _ in range(n)]
