@@ -278,7 +278,7 @@ def label_sections(sections: DataFrame, kinds: DataFrame, language: str = "it")
     heads = kinds.where(F.col("language") == language).select(F.col("name").alias("kind"), F.col("heading").alias("_h"))
     s = sections.join(heads, "kind", "left")
     first = F.element_at("keywords", 1)
-    spelled = F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.expr("substring(element_at(keywords, 1), 2)")))
+    spelled = F.concat(tx.capital(F.substring(first, 1, 1)), F.lower(F.expr("substring(element_at(keywords, 1), 2)")))
     named = F.when(F.size(F.coalesce("keywords", F.array().cast("array<string>"))) > 0,
                    F.array_join(F.concat(F.array(spelled), F.slice("keywords", 2, 2)), ", "))
     written = F.nullif(F.trim(F.coalesce("written", F.lit(""))), F.lit("")) if "written" in sections.columns else F.lit(None).cast("string")

@@ -40,6 +40,12 @@ def test_a_section_without_keywords_has_no_title(against_sql):
     assert any(row[2] == "None" for row in got)
 
 
+def test_the_capital_of_a_letter_is_one_letter(against_sql):
+    text = " ".join(["Eine ßkeit."] * 20)
+    got = against_sql("label_sections", "conversations", {"conv_id": [1], "turn": [0], "role": ["assistant"], "text": [text]})
+    assert any("ẞkeit" in row[2] for row in got)
+
+
 @pytest.mark.parametrize("name", ["learn_voices", "learn_all_voices"])
 def test_a_sum_just_below_zero_keeps_its_sign(against_sql, name):
     tiny = 1e-7 / math.sqrt(63)
