@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions import text as tx
+from colloquy.operators.terms import TASK_CHARS
+from colloquy.plans.store import materialise
 
 MINUTE_MS = 60_000
 COVERAGE_FLOOR, COPY_FLOOR, LOST_SHARE = 0.80, 0.30, 0.25
@@ -60,19 +62,34 @@ def shingles(texts: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ()) -
     return pieces.select("recording_id", *keep, F.explode(_windows(F.col("_p"), size)).alias("shingle"))
 
 
-def copy_rate(points: DataFrame, transcripts: DataFrame, size: int = WINDOW) -> DataFrame:
+def copy_rate(points: DataFrame, transcripts: DataFrame, size: int = WINDOW, task_chars: int = TASK_CHARS) -> DataFrame:
     """Share of the points' word runs found verbatim in their own transcript.
 
-    Null where the transcript is shorter than a run or the points hold none.
+    Null where the transcript is shorter than a run or the points hold none. Recordings of up to ``task_chars`` characters
+    travel once, as texts, and their runs are cut and counted where they arrive; of longer ones the runs travel.
     """
-    said = shingles(points, size).groupBy("recording_id", "shingle").agg(F.count("*").alias("_n"))
-    source = shingles(transcripts, size).select("recording_id", "shingle").distinct().withColumn("_found", F.lit(1))
-    counted = (said.join(source, ["recording_id", "shingle"], "left").groupBy("recording_id")
-               .agg(F.sum("_n").alias("windows"), F.sum(F.when(F.col("_found") == 1, F.col("_n")).otherwise(0)).alias("copied")))
-    long_enough = transcripts.groupBy("recording_id").agg(
-        (F.max(F.size(tx.words(F.col("text")))) >= size).alias("_ok"))
+    both = points.select("recording_id", "text", F.lit(True).alias("_point")).unionByName(transcripts.select("recording_id", "text", F.lit(False).alias("_point")))
+    source = ~F.col("_point")
+    length = materialise(both.groupBy("recording_id").agg(
+        F.sum(F.length("text")).alias("_chars"), F.max(source).alias("_source"), (F.max(F.when(source, F.size(tx.words(F.col("text"))))) >= size).alias("_ok")))
+    chars, longest = length.agg(F.sum("_chars"), F.max("_chars")).first()
+
+    def counted(texts: DataFrame) -> DataFrame:
+        runs = shingles(texts, size, ("_point",)).groupBy("recording_id", "shingle").agg(
+            F.count_if("_point").alias("_n"), F.max(source).alias("_found"))
+        return runs.where("_n > 0").groupBy("recording_id").agg(
+            F.sum("_n").alias("windows"), F.sum(F.when(F.col("_found"), F.col("_n")).otherwise(0)).alias("copied"))
+
+    parts = max(both.sparkSession.sparkContext.defaultParallelism, -(-(chars or 0) // TASK_CHARS))
+    small, all_ = both, None
+    if (longest or 0) > task_chars:
+        long = length.where(F.col("_chars") > task_chars).select("recording_id")
+        small, all_ = both.join(long, "recording_id", "left_anti"), counted(both.join(long, "recording_id", "left_semi"))
+    # Grouping by more than the recording keeps this partitioning: the runs are not shuffled.
+    own = counted(small.repartition(parts, "recording_id"))
+    all_ = own if all_ is None else own.unionByName(all_)
     rate = F.when(F.col("_ok") & (F.col("windows") > 0), F.round(F.col("copied") / F.col("windows"), 6))
-    return long_enough.join(counted, "recording_id", "left").select(
+    return length.where("_source").select("recording_id", "_ok").join(all_, "recording_id", "left").select(
         "recording_id", "windows", "copied", rate.alias("copy_rate"), (rate > COPY_FLOOR).alias("high"))
 
 

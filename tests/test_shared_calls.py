@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from colloquy.operators import metrics as me
 from colloquy.operators import summarise as su
 from colloquy.operators import terms as tm
 
@@ -36,3 +37,15 @@ def test_recordings_share_a_call(spark, monkeypatch):
     many = su.textrank(s, w)
     assert (_plain(many), _plain(su.reduce_to_budget(s, many, budget, "language").select("recording_id", "sent_no"))) == want
     assert 0 < len(want[1]) < 320
+
+
+def test_runs_of_words_are_counted_where_their_texts_arrive(spark):
+    rows = [(r, " ".join(f"w{(r * n) % 7}" for n in range(20 + r))) for r in range(1, 12)]
+    points = spark.createDataFrame(rows + [(5, "one two three four five six seven eight"), (3, None), (99, rows[0][1])], "recording_id long, text string").cache()
+    texts = spark.createDataFrame([(r, "x y " + t if r % 3 else t[:20]) for r, t in rows] + [(12, "short"), (13, None)], "recording_id long, text string").cache()
+    whole = me.copy_rate(points, texts)
+    want = sorted(map(tuple, whole.collect()), key=str)
+    assert len(want) == 13 and any(w[2] for w in want)
+    assert sorted(map(tuple, me.copy_rate(points, texts, task_chars=60).collect()), key=str) == want
+    assert sorted(map(tuple, me.copy_rate(points, texts, task_chars=0).collect()), key=str) == want
+    assert "shingle#" not in "".join(x for x in whole._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
