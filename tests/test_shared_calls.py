@@ -49,3 +49,22 @@ def test_runs_of_words_are_counted_where_their_texts_arrive(spark):
     assert sorted(map(tuple, me.copy_rate(points, texts, task_chars=60).collect()), key=str) == want
     assert sorted(map(tuple, me.copy_rate(points, texts, task_chars=0).collect()), key=str) == want
     assert "shingle#" not in "".join(x for x in whole._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_sentences_are_compared_where_their_words_are(spark, monkeypatch):
+    s = _sentences(spark).unionByName(_sentences(spark).where("recording_id < 9").withColumn("sent_no", F.col("sent_no") + 8)).cache()
+    w = tm.weights(s, "language")
+    none, all_ = tm.long_recordings(s), tm.long_recordings(s, 0)
+    pairs = tm.similar_pairs(w, 0.4, large=none)
+    want = _plain(tm.similar_pairs(w, 0.4, large=all_))
+    assert len(want) > 100 and len({r[0] for r in want}) == 40
+    assert _plain(pairs) == want
+    assert _plain(tm.similar_pairs(w, 0.4, large=all_.where("recording_id % 3 = 0"))) == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "w#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x) and "term#" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+    monkeypatch.setattr(tm, "CELLS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert _plain(tm.similar_pairs(w, 0.4, large=none)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
