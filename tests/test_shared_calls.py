@@ -68,3 +68,15 @@ def test_sentences_are_compared_where_their_words_are(spark, monkeypatch):
         assert _plain(tm.similar_pairs(w, 0.4, large=none)) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_summaries_are_made_where_the_words_are(spark):
+    some = _sentences(spark)
+    empty = spark.createDataFrame([(41, 0, "a b", "en"), (41, 1, "", "en"), (42, 0, "river", "en")], some.schema)
+    s = some.unionByName(some.withColumn("sent_no", F.col("sent_no") + 8).where("recording_id % 4 = 0")).unionByName(empty).cache()
+    want = sorted(map(str, su.extractive_summary(s, "language", task_chars=0).collect()))
+    assert len(want) == 42
+    assert sorted(map(str, su.extractive_summary(s, "language").collect())) == want
+    assert sorted(map(str, su.extractive_summary(s, "language", task_chars=200).collect())) == want
+    _, terms = su._chosen_and_terms(some, "language", "medium", 2, None)
+    assert terms.count() < some.select("recording_id").distinct().count() * 6
