@@ -6,7 +6,6 @@ from colloquy import fixtures as fx
 from colloquy.registry import query
 from colloquy.fixtures import sql
 from colloquy.operators import subtitles as st
-from colloquy.plans.store import materialise
 
 NETFLIX = st.choose(["netflix"])
 ALL = st.presets()
@@ -208,5 +207,4 @@ def _(spark, sf):
 
 @query("job_subtitle_report")
 def _(spark, sf):
-    c = materialise(st.subtitle(fx.segments(spark, sf), ALL, "en"))
-    return st.tally_problems(st.lint_cues(c, ALL))
+    return st.tally_problems(st.lint_cues(st.subtitle(fx.segments(spark, sf), ALL, "en"), ALL))
